@@ -33,6 +33,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_vectors
+
+    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE array_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b)
+SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) AS n_links, m.root AS component_id, m.root = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) m ON m.id = e.vec_id
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -64,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_decontaminate": OP2_SQL}
