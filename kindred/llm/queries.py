@@ -68,6 +68,21 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.written_and_read(_read(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST((k // 4) * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -79,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_decontaminate": OP2_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL}
