@@ -104,8 +104,8 @@ def shingles(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     is_short[at[short]] = True
     out[~is_short] = s[ok[: len(s)]]
     for d in short:
-        v = _U(0xA5A5A5A5)
+        v = np.array([0xA5A5A5A5], _U)
         for x in h[doc[d] : doc[d + 1]]:
-            v = mix(np.array([v * _U(0x2545F4914F6CDD1D) + x], _U))[0]
-        out[at[d]] = v
+            v = mix(v * _U(0x2545F4914F6CDD1D) + x)
+        out[at[d]] = v[0]
     return out, at
