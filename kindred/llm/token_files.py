@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +23,126 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import new_dir, small_batches, stored
+from .byte_bpe import byte_table
 from ._files import make_dir, read_range, write_whole
 
 MAGIC = b"KTOKENS1"
 BLOCK = 1 << 16
 #: Ids after which a task starts a new file.
 FILE_TOKENS = 1 << 22
-KEPT_CHUNKS, KEPT_LENGTH, JOINED = 500_000, 48, 200
+#: Words and pieces whose ids a worker keeps, the longest word kept, and pieces merged in one call.
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH, JOINED = 500_000, 400_000, 48, 500
 #: Python's str.split() also splits at these, which are not white space to the tokenizers.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
-MARK = "\x00"
+#: Characters whose lower case or normal form is left to the library.
+WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
 class WordCoder:
     """Encodes with a tokenizers file. by_word says that no token of it spans or depends on white
-    space; words' ids are then kept and only words not met before go to the library, many at once."""
+    space; words' ids are then kept, and only what was not met before goes to the library.
+
+    Of a file whose normaliser is NFC, white space and lower case and whose words are split by a
+    pattern into bytes, new words are split here and only new pieces are merged by the library, many
+    in one call; words with characters from U+0250 on are normalised by the library first."""
 
     def __init__(self, path: str, by_word: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_word = by_word
         self.kept: dict[str, bytes] = {}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.pieces: dict[str, bytes] = {}
+        self.pattern = self._split_pattern()
+        if self.pattern is not None:
+            import regex
+
+            self.pattern = regex.compile(self.pattern + "|\n")
+            self.normalizer = self.tokenizer.normalizer
+            self.merger = Tokenizer.from_file(path)
+            self.merger.encode_special_tokens = True
+            self.merger.normalizer = normalizers.Sequence([])
+            self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            suffix = self.tokenizer.model.end_of_word_suffix or ""
+            #: Whether an id ends a piece.
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+            self.to_char = dict(enumerate(byte_table())) | {10: "\n"}
+
+    def _split_pattern(self) -> str | None:
+        made = json.loads(self.tokenizer.to_str())
+        steps, pre = (made.get("normalizer") or {}).get("normalizers") or [], (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if [n.get("type") for n in steps] != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in pre] != ["Split", "ByteLevel"]:
+            return None
+        if steps[1].get("pattern") != {"Regex": "\\s+"} or not pre[0].get("invert") or pre[0].get("behavior") != "Removed" or pre[1].get("use_regex") or pre[1].get("add_prefix_space"):
+            return None
+        return pre[0]["pattern"].get("Regex") if made["model"].get("end_of_word_suffix") else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a null or empty text has none."""
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        cut = [[] if not t else [w for w in SPACES.split(t) if w] if NOT_SPACE.search(t) else t.split() for t in texts]
-        if len(self.kept) > KEPT_CHUNKS:
+        if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        new = set().union(*cut).difference(self.kept) if cut else set()
-        joined = [w for w in new if MARK not in w] if self.mark is not None else []
-        groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        for i in range(0, len(groups), 32):
-            part = groups[i : i + 32]
-            for group, e in zip(part, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                raw, at = ids.tobytes(), 0
-                for w, to in zip(group, [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(raw)], strict=True):
-                    self.kept[w] = raw[at:to]
-                    at = to + 4
-        for w in new.difference(joined):
-            self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        out = [b"".join(map(self.kept.__getitem__, c)) for c in cut]
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        cut = [[] if not t else [w for w in SPACES.split(t) if w] if NOT_SPACE.search(t) else t.split() for t in texts]
+        new: set[str] = set()
+        for words in cut:
+            new.update(filterfalse(self.kept.__contains__, words))
+        self._add(new)
+        out = [b"".join(map(self.kept.__getitem__, words)) for words in cut]
         for w in (w for w in new if len(w) > KEPT_LENGTH):
             del self.kept[w]
         return out
 
+    def _add(self, new: set[str]) -> None:
+        if self.pattern is None:
+            for w in new:
+                self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        wide = [w for w in new if WIDE.search(w)] if WIDE.search("\n".join(new)) else []
+        for w in wide:
+            self._split([w], self.normalizer.normalize_str(w))
+        plain = new.difference(wide) if wide else new
+        letters = list(filter(str.isalpha, plain))  # one piece each
+        low = "\n".join(letters).lower().split("\n")
+        self._merge(set(low))
+        self.kept.update(zip(letters, map(self.pieces.get, low), strict=False))
+        rest = list(filterfalse(str.isalpha, plain))
+        self._split(rest, "\n".join(rest).lower())
+
+    def _split(self, words: list[str], text: str) -> None:
+        """Keep the ids of words, whose normalised forms are the lines of text."""
+        if not words:
+            return
+        parts = self.pattern.findall(text)
+        self._merge(set(parts))
+        at, got = 0, []
+        for p in parts:
+            if p == "\n":
+                self.kept[words[at]] = got[0] if len(got) == 1 else b"".join(got)
+                at, got = at + 1, []
+            else:
+                got.append(self.pieces[p])
+        self.kept[words[at]] = b"".join(got)
+
+    def _merge(self, every: set[str]) -> None:
+        """Keep the ids of pieces."""
+        pieces = list(every.difference(self.pieces, ("\n", "")))
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            groups = [part[k : k + JOINED] for k in range(0, len(part), JOINED)]
+            mapped = ["\n".join(g).encode().decode("latin-1").translate(self.to_char) for g in groups]
+            for group, e in zip(groups, self.merger.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, at = ids.tobytes(), 0
+                for p, to in zip(group, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                    self.pieces[p] = raw[at:to]
+                    at = to
+
 
 @lru_cache(maxsize=2)
 def coder(path: str, by_word: bool) -> WordCoder:
