@@ -68,6 +68,12 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op4_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_docs
 
