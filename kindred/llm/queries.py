@@ -114,6 +114,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_read(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_model
+
+    return language_model.scored(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
