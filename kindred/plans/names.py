@@ -278,11 +278,13 @@ def usable_surnames(t):
     return t["people"].where(T.usable_surname("surname1")).groupBy(F.col("surname1").alias("surname")).agg(COUNT)
 
 
-@query("c15_acts_of_person", f"""SELECT p.id AS person_id, a.id, CASE WHEN {given_key('a.given')} = {given_key('p.given')} AND {same_surname('a.surname1', 'p.surname1')} THEN 'self' ELSE 'child' END AS role FROM people p JOIN acts a ON a.year BETWEEN p.birth_year - 20 AND p.birth_year + 50 AND (({given_key('a.given')} = {given_key('p.given')} AND {same_surname('a.surname1', 'p.surname1')}) OR ({given_key('a.father_given')} = {given_key('p.given')} AND {same_surname('a.father_surname', 'p.surname1')})) WHERE a.kind = 'bautismo' AND p.seq <= 300""")
+@query("c15_acts_of_person", f"""WITH p AS MATERIALIZED (SELECT id AS person_id, {given_key('given')} AS k, surname1 AS s, birth_year AS y FROM people WHERE birth_year IS NOT NULL), a AS MATERIALIZED (SELECT id, year, {given_key('given')} AS k, surname1 AS s, {given_key('father_given')} AS fk, father_surname AS fs FROM acts WHERE kind = 'bautismo'),
+m AS (SELECT person_id, id, 0 AS r FROM p JOIN a ON a.k = p.k AND p.k <> '' AND a.year BETWEEN y - 20 AND y + 50 AND {same_surname('a.s', 'p.s')} UNION ALL SELECT person_id, id, 1 FROM p JOIN a ON a.fk = p.k AND p.k <> '' AND a.year BETWEEN y - 20 AND y + 50 AND {same_surname('a.fs', 'p.s')})
+SELECT person_id, id, CASE WHEN min(r) = 0 THEN 'self' ELSE 'child' END AS role FROM m GROUP BY person_id, id""")
 def acts_of_person(t):
     from kindred.operators.matching import acts_naming
 
-    return acts_naming(t["people"].where("seq <= 300"), t["acts"].where("kind = 'bautismo'"), -20, 50)
+    return acts_naming(t["people"], t["acts"].where("kind = 'bautismo'"), -20, 50)
 
 
 @query("c16_branch_members", f"SELECT id FROM people WHERE province IN ('ASIA', 'EUROPE') OR starts_with({norm('place')}, 'nation_1')")
