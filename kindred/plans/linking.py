@@ -12,7 +12,7 @@ from kindred.operators.matching import first_by, in_window, resolve, token_pairs
 
 from .registry import event_class, given_key, norm, query, tokens, year_of
 
-COUNT = F.count("*").alias("n")
+
 
 
 def resolved(q: str, p: str = "r") -> str:
@@ -40,7 +40,7 @@ def d1(t):
 
 @query("d2_attach_person", f"WITH {FQ}, {resolved('fq')} SELECT kind, person_id IS NOT NULL AS known, count(*) AS n FROM findings f JOIN rres ON qid = f.id GROUP BY ALL")
 def d2(t):
-    return t["findings"].join(resolve(finding_names(t), t["people"]).withColumnRenamed("qid", "id").hint("merge"), "id").groupBy("kind", F.col("person_id").isNotNull().alias("known")).agg(COUNT)
+    return t["findings"].join(resolve(finding_names(t), t["people"]).withColumnRenamed("qid", "id").hint("merge"), "id").groupBy("kind", F.col("person_id").isNotNull().alias("known")).agg(F.count("*").alias("n"))
 
 
 @query("d3_citation_audit", f"""
@@ -75,7 +75,7 @@ c AS (SELECT a.id, p.seq, a.g = p.g AS same, CAST(p.s1 = a.s1 OR p.s1 = a.s2 AS
 s AS (SELECT id, seq, (CASE WHEN same AND k = 2 THEN 2.0 WHEN k >= 2 THEN 1.0 ELSE 0.5 END) + (CASE WHEN d <= 5 THEN 1 ELSE 0 END) + (CASE WHEN place <> '' AND contains(mun, place) THEN 1 ELSE 0 END) AS score, coalesce(d > 25, false) AS conflict, (d IS NULL AND year IS NOT NULL) OR d > 5 OR place = '' OR NOT contains(mun, place) AS reserve FROM c)
 SELECT CASE WHEN conflict THEN 'incompatible' WHEN score >= 2 AND coalesce(reserve, false) THEN 'reserves' WHEN score >= 2 THEN 'compatible' ELSE 'insufficient' END AS verdict, count(*) AS n, CAST(sum(score) AS DOUBLE) AS score FROM s GROUP BY 1""")
 def d7(t):
-    return E.compatibility(t["acts"], t["people"].where("province = 'ASIA'")).groupBy("verdict").agg(COUNT, F.sum("score").alias("score"))
+    return E.compatibility(t["acts"], t["people"].where("province = 'ASIA'")).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 @query("f1_best_person", f"""
@@ -131,7 +131,7 @@ def e5(t):
 @query("d14_edges_to_families", "SELECT father, mother, count(*) AS n, string_agg(id, ',' ORDER BY seq) AS children FROM people WHERE father <> '' OR mother <> '' GROUP BY ALL")
 def d14(t):
     kids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]), ",")
-    return t["people"].where("father <> '' OR mother <> ''").groupBy("father", "mother").agg(COUNT, kids.alias("children"))
+    return t["people"].where("father <> '' OR mother <> ''").groupBy("father", "mother").agg(F.count("*").alias("n"), kids.alias("children"))
 
 
 @query("d16_index_search", f"""
@@ -159,7 +159,7 @@ def d17(t):
     words = lambda c: F.explode(F.filter(F.split(T.norm(c), " "), lambda x: F.length(x) > 2)).alias("tok")
     loose = q.select("s", words("s")).join(a.select("id", words("as_")).hint("merge"), "tok").select("s", "id", F.lit(2).alias("tier")).distinct()
     both = exact.unionByName(loose.join(exact.select("s").distinct().hint("merge"), "s", "left_anti"))
-    return both.groupBy(F.col("s").alias("surname"), "tier").agg(COUNT)
+    return both.groupBy(F.col("s").alias("surname"), "tier").agg(F.count("*").alias("n"))
 
 
 @query("d19_archives_by_place", "SELECT DISTINCT p.place, CASE WHEN p.province = '' THEN 'unknown' ELSE p.province END AS province, coalesce(s.s_name, '') AS archive FROM people p LEFT JOIN nation n ON n.n_name = p.place LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND p.province <> '' WHERE p.place <> ''")
@@ -200,7 +200,7 @@ def d24(t):
 @query("d25_place_codes", f"SELECT p.place, n.n_nationkey AS code, count(*) AS n FROM people p LEFT JOIN nation n ON {norm('n.n_name')} = {norm('p.place')} AND n.n_nationkey % 3 <> 0 GROUP BY ALL")
 def d25(t):
     codes = t["nation"].where("n_nationkey % 3 <> 0").select(T.norm("n_name").alias("k"), F.col("n_nationkey").alias("code"))
-    return t["people"].withColumn("k", T.norm("place")).join(F.broadcast(codes), "k", "left").groupBy("place", "code").agg(COUNT)
+    return t["people"].withColumn("k", T.norm("place")).join(F.broadcast(codes), "k", "left").groupBy("place", "code").agg(F.count("*").alias("n"))
 
 
 @query("f2_pick_act", f"""
@@ -225,7 +225,7 @@ def i1(t):
 @query("e6_levels", f"WITH c AS ({CLASSIFY[:0]}SELECT * FROM ({CLASSIFY.replace('WITH ', 'WITH ', 1)})) SELECT level, kind, count(*) AS n FROM c JOIN findings f ON f.id = c.id GROUP BY ALL" if False else CLASSIFY.replace("SELECT id, CASE WHEN pid IS NULL", ", lv AS (SELECT id, CASE WHEN pid IS NULL").rstrip() + ") SELECT level, kind, count(*) AS n FROM lv JOIN findings f USING (id) GROUP BY ALL")
 def e6(t):
     lv = E.classify(t["findings"], t["people"], resolve(finding_names(t), t["people"])).select("id", "level")
-    return lv.join(t["findings"].select("id", "kind").hint("merge"), "id").groupBy("level", "kind").agg(COUNT)
+    return lv.join(t["findings"].select("id", "kind").hint("merge"), "id").groupBy("level", "kind").agg(F.count("*").alias("n"))
 
 
 @query("i3_generations", "WITH RECURSIVE g(seq, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT p.seq, depth + 1 FROM g JOIN people p ON p.seq = 2 * g.seq OR p.seq = 2 * g.seq + 1) SELECT seq, min(depth) AS depth FROM g GROUP BY seq")

@@ -8,17 +8,17 @@ from kindred.functions import text as T
 
 from .registry import event_class, given_key, norm, query, same_surname, strings, tokens, year_of
 
-COUNT = F.count("*").alias("n")
+
 
 
 @query("b1_normalise", f"SELECT k, count(*) AS n FROM (SELECT {norm('name')} AS k FROM people ) GROUP BY k")
 def normalise(t):
-    return t["people"].groupBy(T.norm("name").alias("k")).agg(COUNT)
+    return t["people"].groupBy(T.norm("name").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("b2_strip_accents", "SELECT k, count(*) AS n FROM (SELECT strip_accents(name) AS k FROM people ) GROUP BY k")
 def strip_accents(t):
-    return t["people"].groupBy(T.plain("name").alias("k")).agg(COUNT)
+    return t["people"].groupBy(T.plain("name").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("b3_hashes", "SELECT doc_id, substr(sha256(text), 1, 16) AS short, sha256(concat('doc/', doc_id)) AS url_hash FROM documents")
@@ -28,12 +28,12 @@ def hashes(t):
 
 @query("b4_years", f"SELECT y, y1500, count(*) AS n FROM (SELECT {year_of('birth_date')} AS y, {year_of('notes', 1500)} AS y1500 FROM people ) GROUP BY ALL")
 def years(t):
-    return t["people"].groupBy(T.year_of("birth_date").alias("y"), T.year_of("notes", 1500).alias("y1500")).agg(COUNT)
+    return t["people"].groupBy(T.year_of("birth_date").alias("y"), T.year_of("notes", 1500).alias("y1500")).agg(F.count("*").alias("n"))
 
 
 @query("b5_name_tokens", f"SELECT k, count(*) AS n FROM (SELECT unnest({tokens('name')}) AS k FROM people ) GROUP BY k")
 def name_tokens(t):
-    return t["people"].select(F.explode(T.name_tokens("name")).alias("k")).groupBy("k").agg(COUNT)
+    return t["people"].select(F.explode(T.name_tokens("name")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 SURNAME_TOKENS = f"list_filter(string_split(trim(surname1), ' '), lambda t: len(t) > 2 AND NOT list_contains({strings(T.PARTICLES)}, strip_accents(lower(t))))"
@@ -41,12 +41,12 @@ SURNAME_TOKENS = f"list_filter(string_split(trim(surname1), ' '), lambda t: len(
 
 @query("b6_surname_tokens", f"SELECT k, count(*) AS n FROM (SELECT unnest({SURNAME_TOKENS}) AS k FROM people ) GROUP BY k")
 def surname_tokens(t):
-    return t["people"].select(F.explode(T.surname_tokens("surname1")).alias("k")).groupBy("k").agg(COUNT)
+    return t["people"].select(F.explode(T.surname_tokens("surname1")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("b7_given_keys", f"SELECT k, count(*) AS n FROM (SELECT {given_key('given')} AS k FROM acts ) GROUP BY k")
 def given_keys(t):
-    return t["acts"].groupBy(T.given_key("given").alias("k")).agg(COUNT)
+    return t["acts"].groupBy(T.given_key("given").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("b8_spelling_forms", f"""
@@ -60,7 +60,7 @@ def spelling_forms(t):
 
 @query("b9_wildcards", "SELECT k, count(*) AS n FROM (SELECT regexp_replace(surname1, '[áéíóúüñÁÉÍÓÚÜÑ]', '_', 'g') AS k FROM people ) GROUP BY k")
 def wildcards(t):
-    return t["people"].groupBy(T.wildcard("surname1").alias("k")).agg(COUNT)
+    return t["people"].groupBy(T.wildcard("surname1").alias("k")).agg(F.count("*").alias("n"))
 
 
 ROLE = """SELECT id, trim(regexp_extract(x, '(?i)^\\s*([^()]+?)\\s*\\((?:es\\s+)?(?:su\\s+)?(?:{0})\\)', 1)) AS name FROM (SELECT id, unnest(names) AS x FROM findings )"""
@@ -93,12 +93,12 @@ def collaterals(t):
 
 @query("b14_event_classes", f"SELECT k, count(*) AS n FROM (SELECT {event_class('kind')} AS k FROM findings ) GROUP BY k")
 def event_classes(t):
-    return t["findings"].groupBy(T.event_class("kind").alias("k")).agg(COUNT)
+    return t["findings"].groupBy(T.event_class("kind").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("b15_surname_of", "SELECT k, count(*) AS n FROM (SELECT regexp_extract(name, '^\\S+ (.*)$', 1) AS k FROM people ) GROUP BY k")
 def surname_of(t):
-    return t["people"].groupBy(T.surname_of("name").alias("k")).agg(COUNT)
+    return t["people"].groupBy(T.surname_of("name").alias("k")).agg(F.count("*").alias("n"))
 
 
 RARITY = f"""CASE WHEN {norm('surname1')} = '' OR list_contains({strings(T.COMMON_SURNAMES)}, {norm('surname1')}) THEN 0 WHEN list_has_any(string_split({norm('surname1')}, ' '), {strings(T.COMMON_SURNAMES)}) THEN 1 ELSE 3 END"""
@@ -106,7 +106,7 @@ RARITY = f"""CASE WHEN {norm('surname1')} = '' OR list_contains({strings(T.COMMO
 
 @query("b16_rarity", f"SELECT surname1 AS surname, {RARITY} AS rarity, count(*) AS n FROM people GROUP BY ALL")
 def rarities(t):
-    return t["people"].groupBy(F.col("surname1").alias("surname")).agg(F.first(T.rarity("surname1")).alias("rarity"), COUNT)
+    return t["people"].groupBy(F.col("surname1").alias("surname")).agg(F.first(T.rarity("surname1")).alias("rarity"), F.count("*").alias("n"))
 
 
 @query("b17_digitisation", "SELECT p.place, max(CASE WHEN p.province = '' THEN 0 ELSE r.r_regionkey - 1 END) AS points FROM people p LEFT JOIN region r ON r.r_name = p.province GROUP BY p.place")
@@ -117,14 +117,14 @@ def digitisation(t):
 
 @query("b18_graph_dates", f"""SELECT k, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(birth_date, '^\\d{{4}}-') THEN concat(CAST(substr(birth_date, 9, 2) AS INT), ' ', {strings(T.MONTHS_OUT)}[CAST(substr(birth_date, 6, 2) AS INT)], ' ', substr(birth_date, 1, 4)) WHEN contains(birth_date, ' de mayo de ') THEN replace(birth_date, ' de mayo de ', ' MAY ') WHEN birth_date = '' THEN '' ELSE concat('ABT ', birth_date) END AS k FROM people ) GROUP BY k""")
 def graph_dates(t):
-    return t["people"].groupBy(T.graph_date("birth_date").alias("k")).agg(COUNT)
+    return t["people"].groupBy(T.graph_date("birth_date").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("b20_source_classes", "SELECT CASE WHEN contains(url, 'archivo') THEN 'archive' WHEN contains(url, 'familia') THEN 'family' WHEN contains(url, 'pares') THEN 'state' ELSE 'web' END AS source, count(*) AS n, count(DISTINCT url) AS urls FROM findings GROUP BY 1")
 def source_classes(t):
     u = F.col("url")
     kind = F.when(u.contains("archivo"), "archive").when(u.contains("familia"), "family").when(u.contains("pares"), "state").otherwise("web")
-    return t["findings"].groupBy(kind.alias("source")).agg(COUNT, F.count_distinct("url").alias("urls"))
+    return t["findings"].groupBy(kind.alias("source")).agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"))
 
 
 KEY = f"concat_ws('|', {norm('kind')}, {norm('fecha')}, {norm('place')}, trim(url), {norm('substr(quote, 1, 400)')}, {norm('precision')})"
@@ -142,7 +142,7 @@ SPOUSE = norm("concat_ws(' ', spouse_given, spouse_surname)")
 @query("b22_couple_keys", f"SELECT least(a, b) || '||' || greatest(a, b) AS couple, count(*) AS n, min(k) AS k FROM (SELECT {PERSON} AS a, {SPOUSE} AS b, concat({PERSON}, '::', coalesce(CAST(year AS VARCHAR), '')) AS k FROM acts WHERE kind = 'matrimonio') GROUP BY 1")
 def couple_keys(t):
     m = t["acts"].where("kind = 'matrimonio'").select(T.person_key("given", "surname1").alias("a"), T.person_key("spouse_given", "spouse_surname").alias("b"), T.person_key("given", "surname1", "year").alias("k"))
-    return m.groupBy(T.pair_key("a", "b").alias("couple")).agg(COUNT, F.min("k").alias("k"))
+    return m.groupBy(T.pair_key("a", "b").alias("couple")).agg(F.count("*").alias("n"), F.min("k").alias("k"))
 
 
 @query("b23_citations", "SELECT id, concat_ws(', ', nullif(fonds, ''), CASE WHEN shelfmark <> '' THEN concat('sign. ', shelfmark) END, CASE WHEN folio <> '' THEN concat('f. ', folio) END) AS cite FROM acts ")
@@ -159,7 +159,7 @@ def answer_intake(t):
     x = F.when(k == 0, F.concat(F.lit('```json\n[{"n": '), F.col("turn"), F.lit("}]\n```"))).when(k == 1, F.concat(F.lit('Result: {"n": '), F.col("turn"), F.lit("} done"))).otherwise(F.concat(F.lit('{"n": '), F.substring("text", 1, 5)))
     body = F.regexp_replace(x, r"```(?:json)?", "")
     parsed = F.coalesce(F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.lit(""))), F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))))
-    return t["conversations"].groupBy(parsed.isNotNull().alias("valid")).agg(COUNT)
+    return t["conversations"].groupBy(parsed.isNotNull().alias("valid")).agg(F.count("*").alias("n"))
 
 
 @query("b26_year_windows", "SELECT id, birth_year - 35 AS parents_lo, birth_year - 18 AS parents_hi, birth_year + 18 AS children_lo, birth_year + 50 AS children_hi, birth_year - 20 AS seed_lo, birth_year + 20 AS seed_hi FROM people WHERE birth_year IS NOT NULL")
@@ -172,7 +172,7 @@ def year_windows(t):
 SELECT page_id, lower(regexp_extract(x, '^<a href="([^"]*)">', 1)) AS field, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS x FROM pages) GROUP BY ALL""")
 def page_fields(t):
     x = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">[^<]*</a>'), F.lit(1))
-    return t["pages"].select("page_id", F.explode(x).alias("x")).groupBy("page_id", F.lower("x").alias("field")).agg(COUNT)
+    return t["pages"].select("page_id", F.explode(x).alias("x")).groupBy("page_id", F.lower("x").alias("field")).agg(F.count("*").alias("n"))
 
 
 @query("c1_relevance", f"SELECT doc_id, (len(text) >= 200 AND (contains({norm('text')}, 'password') OR contains({norm('text')}, 'idiot'))) AS relevant FROM documents")
@@ -211,7 +211,7 @@ def manuscript_sources(t):
 @query("c5_same_given", f"WITH a AS (SELECT {given_key('given')} AS k, count(*) AS n FROM acts GROUP BY 1), p AS (SELECT {given_key('given')} AS k, count(*) AS m FROM people GROUP BY 1) SELECT k, n, m FROM a JOIN p USING (k) WHERE k <> ''")
 def same_given(t):
     """The predicate is equality of keys, so a hash join decides it."""
-    a = t["acts"].groupBy(T.given_key("given").alias("k")).agg(COUNT)
+    a = t["acts"].groupBy(T.given_key("given").alias("k")).agg(F.count("*").alias("n"))
     p = t["people"].groupBy(T.given_key("given").alias("k")).agg(F.count("*").alias("m"))
     return a.join(p.hint("merge"), "k").where("k <> ''")
 
@@ -275,7 +275,7 @@ def parent_clashes(t):
 
 @query("c14_usable_surnames", f"SELECT surname1 AS surname, count(*) AS n FROM people WHERE len({norm('surname1')}) > 2 AND NOT list_contains({strings(T.COMMON_SURNAMES)}, {norm('surname1')}) GROUP BY 1")
 def usable_surnames(t):
-    return t["people"].where(T.usable_surname("surname1")).groupBy(F.col("surname1").alias("surname")).agg(COUNT)
+    return t["people"].where(T.usable_surname("surname1")).groupBy(F.col("surname1").alias("surname")).agg(F.count("*").alias("n"))
 
 
 @query("c15_acts_of_person", f"""WITH p AS MATERIALIZED (SELECT id AS person_id, {given_key('given')} AS k, surname1 AS s, birth_year AS y FROM people WHERE birth_year IS NOT NULL), a AS MATERIALIZED (SELECT id, year, {given_key('given')} AS k, surname1 AS s, {given_key('father_given')} AS fk, father_surname AS fs FROM acts WHERE kind = 'bautismo'),
@@ -306,7 +306,7 @@ def page_kinds(t):
 def failures(t):
     e, v = F.col("event_type"), F.col("value")
     reason = (F.when((e == "error") & (v < 5), "timeout").when((e == "error") & (v < 15), "connection").when(e == "error", F.concat(F.lit("http_"), (400 + F.col("user_id") % 5).cast("int").cast("string"))).when((e == "purchase") & (v > 60), "too_large").otherwise("ok"))
-    return t["events"].groupBy(reason.alias("reason")).agg(COUNT)
+    return t["events"].groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("c19_call_errors", """SELECT conv_id, turn, CASE WHEN m IN ('timed out', 'read timeout') THEN 'timeout' WHEN regexp_matches(m, '429|503|rate') THEN 'rate_limit' WHEN regexp_matches(m, '400|422|schema') THEN 'schema' ELSE 'other' END AS kind FROM (SELECT conv_id, turn, ['timed out', 'HTTP 429', 'HTTP 422 schema', '503 rate 400', 'other', 'HTTP 400'][(conv_id * 3 + turn) % 6 + 1] AS m FROM conversations)""")

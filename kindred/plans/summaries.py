@@ -10,7 +10,7 @@ from kindred.functions import text as T
 
 from .registry import event_class, norm, query, strings, tokens, year_of
 
-COUNT = F.count("*").alias("n")
+
 
 
 @query("a5_archive_answers", """SELECT id, kind, nullif(shelfmark, '') IS NULL AS blank, year FROM acts WHERE fecha <> ''""")
@@ -24,14 +24,14 @@ def a5(t):
 @query("a7_negative_register", "SELECT substr(concat('u', user_id), 1, 120) AS anchor, substr(concat('reason ', props), 1, 300) AS reason, count(*) AS n FROM events WHERE event_type = 'error' AND user_id % 10 <> 0 GROUP BY ALL")
 def a7(t):
     e = t["events"].where("event_type = 'error'").select(F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("u"), "user_id")).alias("anchor"), F.concat(F.lit("reason "), "props").alias("reason"))
-    return e.where("anchor IS NOT NULL").groupBy(F.substring("anchor", 1, 120).alias("anchor"), F.substring("reason", 1, 300).alias("reason")).agg(COUNT)
+    return e.where("anchor IS NOT NULL").groupBy(F.substring("anchor", 1, 120).alias("anchor"), F.substring("reason", 1, 300).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("a8_keyed_cache", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, count(*) AS n, min(event_id) AS first FROM events GROUP BY user_id")
 def a8(t):
     """Insert-or-ignore keeps the first of a key, replace the last."""
     order = F.struct("ts", "event_id")
-    return t["events"].groupBy("user_id").agg(F.max_by("event_type", order).alias("last"), COUNT, F.min("event_id").alias("first"))
+    return t["events"].groupBy("user_id").agg(F.max_by("event_type", order).alias("last"), F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 @query("a10_version_retention", "SELECT event_type, event_id, r <= 30 AS keep FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)")
@@ -42,7 +42,7 @@ def a10(t):
 
 @query("a11_source_table", "SELECT url, min(id) AS first_use, count(*) AS n FROM findings GROUP BY url")
 def a11(t):
-    return t["findings"].groupBy("url").agg(F.min("id").alias("first_use"), COUNT)
+    return t["findings"].groupBy("url").agg(F.min("id").alias("first_use"), F.count("*").alias("n"))
 
 
 @query("a12_request_register", f"SELECT DISTINCT {norm('person')} AS k, {event_class('kind')} AS kind FROM findings f WHERE NOT EXISTS (SELECT 1 FROM people p WHERE {norm('p.name')} = {norm('f.person')})")
@@ -54,14 +54,14 @@ def a12(t):
 @query("e1_corpus_dedupe", "SELECT h, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sha256(concat(source, substr(text, 1, 1000))) AS h FROM documents) GROUP BY h")
 def e1(t):
     h = F.sha2(F.concat("source", F.substring("text", 1, 1000)), 256)
-    return t["documents"].groupBy(h.alias("h")).agg(F.min("doc_id").alias("doc_id"), COUNT)
+    return t["documents"].groupBy(h.alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
 @query("e2_surname_frequencies", f"SELECT tok, count(*) AS n FROM (SELECT unnest({tokens('surname1')}) AS tok FROM people UNION ALL SELECT unnest({tokens('surname2')}) FROM people UNION ALL SELECT unnest({tokens("regexp_extract(father, '^\\S+ (.*)$', 1)")}) FROM people WHERE father <> '') GROUP BY tok")
 def e2(t):
     p = t["people"]
     each = [p.select(F.explode(T.name_tokens(c)).alias("tok")) for c in ("surname1", "surname2")] + [p.where("father <> ''").select(F.explode(T.name_tokens(T.surname_of("father"))).alias("tok"))]
-    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("tok").agg(COUNT)
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("tok").agg(F.count("*").alias("n"))
 
 
 @query("e3_line_years", "SELECT surname1, min(birth_year) AS lo, max(birth_year) AS hi FROM people GROUP BY surname1")
@@ -71,7 +71,7 @@ def e3(t):
 
 @query("e7_corpus_by_origin", "SELECT coalesce(nullif(trim(lower(source)), ''), 'web') AS origin, count(*) AS n, count(*) FILTER (len(text) > 1000) AS long FROM documents GROUP BY 1")
 def e7(t):
-    return t["documents"].groupBy(F.coalesce(F.nullif(F.trim(F.lower("source")), F.lit("")), F.lit("web")).alias("origin")).agg(COUNT, F.count_if(F.length("text") > 1000).alias("long"))
+    return t["documents"].groupBy(F.coalesce(F.nullif(F.trim(F.lower("source")), F.lit("")), F.lit("web")).alias("origin")).agg(F.count("*").alias("n"), F.count_if(F.length("text") > 1000).alias("long"))
 
 
 @query("e8_tree_depth", "SELECT surname1, count(*) AS cards, count(*) FILTER (n_evidence > 0) AS confirmed, min(birth_year) FILTER (n_evidence > 0) AS oldest, min(birth_year) AS remembered, greatest(0, CAST(round_even((min(birth_year) - 1700) / 28.0, 0) AS INT)) AS left FROM people GROUP BY 1")
@@ -133,7 +133,7 @@ def e14(t):
 def e17(t):
     j = F.try_parse_json(F.when(F.col("doc_id") % 3 == 0, "[]").when(F.col("doc_id") % 3 == 1, "[1]").otherwise("[1"))
     health = F.when(F.try_variant_get(j, "$[0]", "int").isNotNull(), "with_findings").when(j.isNotNull() & (F.col("doc_id") % 4 == 0), "empty").otherwise("suspicious")
-    return t["documents"].groupBy(health.alias("health")).agg(COUNT)
+    return t["documents"].groupBy(health.alias("health")).agg(F.count("*").alias("n"))
 
 
 @query("e19_catalogue_books")
@@ -156,12 +156,12 @@ def e21(t):
     w = Window.partitionBy("municipality").orderBy("id")
     rows = t["acts"].select("id", "municipality", F.row_number().over(w).alias("r"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",")
-    return rows.groupBy("municipality", F.floor((F.col("r") - 1) / 12).alias("pack")).agg(COUNT, ids.alias("ids"))
+    return rows.groupBy("municipality", F.floor((F.col("r") - 1) / 12).alias("pack")).agg(F.count("*").alias("n"), ids.alias("ids"))
 
 
 @query("e22_requests_by_archive", "SELECT s_nationkey, count(*) AS n, min(s_name) AS first FROM supplier GROUP BY 1")
 def e22(t):
-    return t["supplier"].groupBy("s_nationkey").agg(COUNT, F.min("s_name").alias("first"))
+    return t["supplier"].groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_name").alias("first"))
 
 
 @query("e23_ocr_coverage", "SELECT CASE WHEN done IS NULL THEN 'unknown' WHEN done < total THEN 'partial' ELSE 'whole' END AS status, family, count(*) AS n FROM (SELECT CASE WHEN page_id % 9 = 0 THEN NULL ELSE page_id % 5 END AS done, page_id % 7 AS total, CASE WHEN page_id % 2 = 0 THEN 'vision' ELSE 'classic' END AS family FROM pages) GROUP BY ALL")
@@ -169,7 +169,7 @@ def e23(t):
     k = F.col("page_id")
     done = F.when(k % 9 != 0, k % 5)
     status = F.when(done.isNull(), "unknown").when(done < k % 7, "partial").otherwise("whole")
-    return t["pages"].groupBy(status.alias("status"), F.when(k % 2 == 0, "vision").otherwise("classic").alias("family")).agg(COUNT)
+    return t["pages"].groupBy(status.alias("status"), F.when(k % 2 == 0, "vision").otherwise("classic").alias("family")).agg(F.count("*").alias("n"))
 
 
 @query("f3_stable_ids", "SELECT seq, CASE WHEN seq % 3 = 0 THEN seq ELSE (SELECT max(seq) FROM people WHERE seq % 3 = 0) + count(*) FILTER (seq % 3 <> 0) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) END AS id FROM people ")
@@ -271,14 +271,14 @@ def g5(t):
 
 @query("g7_recent_negative", "WITH e AS (SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT user_id, n, last FROM e ORDER BY last DESC LIMIT 15")
 def g7(t):
-    return t["events"].where("event_type = 'error'").groupBy("user_id").agg(COUNT, F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(15)
+    return t["events"].where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(15)
 
 
 @query("h1_union_acts", "SELECT kind, count(*) AS n, min(id) AS lo, max(id) AS hi FROM (SELECT DISTINCT kind, id FROM (SELECT kind, id FROM acts WHERE kind <> 'defuncion' UNION ALL SELECT kind, id FROM acts WHERE kind <> 'bautismo')) GROUP BY kind")
 def h1(t):
     a = t["acts"]
     both = a.where("kind <> 'defuncion'").unionByName(a.where("kind <> 'bautismo'")).dropDuplicates(["kind", "id"])
-    return both.groupBy("kind").agg(COUNT, F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
 @query("h2_act_surnames", f"SELECT id, count(DISTINCT k) AS n FROM (SELECT id, {norm('unnest([mother_surname, father_surname, surname1, spouse_surname])')} AS k FROM acts ) WHERE len(k) > 2 AND NOT list_contains({strings(T.COMMON_SURNAMES)}, k) GROUP BY id")
@@ -313,7 +313,7 @@ def h6(t):
 @query("h7_query_generation", f"SELECT k, count(*) AS n FROM (SELECT DISTINCT concat(kind, ' ', f, ' ', place) AS k FROM (SELECT unnest([surname1, strip_accents(surname1)]) AS f, place FROM people WHERE place <> ''), (SELECT unnest(['censo', 'parroquia', 'padron']) AS kind)) GROUP BY k")
 def h7(t):
     forms = t["people"].where("place <> ''").select("place", F.explode(F.array("surname1", T.plain("surname1"))).alias("f")).distinct()
-    return forms.select(F.explode(F.transform(F.array(*[F.lit(k) for k in ("censo", "parroquia", "padron")]), lambda k: F.concat_ws(" ", k, "f", "place"))).alias("k")).groupBy("k").agg(COUNT).select("k", F.lit(1).cast("long").alias("n"))
+    return forms.select(F.explode(F.transform(F.array(*[F.lit(k) for k in ("censo", "parroquia", "padron")]), lambda k: F.concat_ws(" ", k, "f", "place"))).alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k", F.lit(1).cast("long").alias("n"))
 
 
 @query("h8_unpublished_requests", f"SELECT id, place FROM people WHERE coalesce(birth_year, {year_of('notes', 1500)}) >= 1850 AND place <> ''")
@@ -348,12 +348,12 @@ def j3(t):
 @query("e18_sections", f"SELECT k, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT {event_class('kind')} AS k, municipality AS m, id FROM acts ) GROUP BY k, m")
 def e18(t):
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return t["acts"].groupBy(T.event_class("kind").alias("k"), "municipality").agg(COUNT, ids.alias("ids")).drop("municipality")
+    return t["acts"].groupBy(T.event_class("kind").alias("k"), "municipality").agg(F.count("*").alias("n"), ids.alias("ids")).drop("municipality")
 
 
 @query("e24_state_overview", "SELECT 'people' AS t, count(*) AS n FROM people UNION ALL SELECT 'acts', count(*) FROM acts UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'documents', count(*) FROM documents")
 def e24(t):
-    each = [t[n].agg(COUNT).select(F.lit(n).alias("t"), "n") for n in ("people", "acts", "findings", "documents")]
+    each = [t[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("t"), "n") for n in ("people", "acts", "findings", "documents")]
     return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
