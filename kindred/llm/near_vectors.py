@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ._common import connected_components, stored
 
 SHARD_ROWS = 8192
-#: Links of a node on the upper layers and (twice) on the lowest, and the narrowest beams.
-LINKS, BEAM_BUILD, BEAM_QUERY = 16, 64, 48
+#: Links of a node on the upper layers and (twice) on the lowest, and the narrowest beams: to build, from a
+#: node itself, from the top.
+LINKS, BEAM_BUILD, BEAM_OWN, BEAM_QUERY = 16, 40, 16, 32
 BATCH = 256
 AUDIT, LEAST_RECALL = 64, 0.995
 
@@ -39,6 +40,7 @@ class Graph:
         self.x = np.zeros((room, dim), np.float32)
         self.n = 0
         self.layers: list[np.ndarray] = []  # neighbours of each node, -1: none
+        self.sims: list[np.ndarray] = []  # and how near they are
         self.level = np.zeros(room, np.int8)
         self.entry = 0
 
@@ -82,36 +84,28 @@ class Graph:
             at = self.beam(layer, q, at, 1)[0][:, 0]
         return at
 
-    def _choose(self, sim: np.ndarray, ids: np.ndarray, most: int) -> list[int]:
+    def _choose(self, sim: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
         """Of candidates, best first, those nearer to the node than to any chosen one; then the nearest."""
-        keep: list[int] = []
         x = self.x[ids]
-        each = x @ x.T
-        for k in range(len(ids)):
-            if len(keep) < most and (not keep or each[k, keep].max() < sim[k]):
-                keep.append(k)
-        for k in range(len(ids)):
-            if len(keep) >= most:
-                break
-            if k not in keep:
-                keep.append(k)
-        return [int(ids[k]) for k in keep]
-
-    def _link(self, layer: int, node: int, others: list[int]) -> None:
-        near = self.layers[layer]
-        near[node, : len(others)] = others
-        for o in others:
-            row = near[o]
-            free = np.flatnonzero(row < 0)
-            if len(free):
-                row[free[0]] = node
-            else:
-                ids = np.append(row, node)
-                sim = self.x[ids] @ self.x[o]
-                order = np.argsort(-sim, kind="stable")
-                kept = self._choose(sim[order], ids[order], len(row))
-                row[:] = -1
-                row[: len(kept)] = kept
+        left, keep = np.ones(len(ids), bool), []
+        while len(keep) < most and left.any():
+            k = int(left.argmax())
+            keep.append(k)
+            left[k] = False
+            left &= x @ x[k] < sim
+        if len(keep) < most:
+            rest = np.ones(len(ids), bool)
+            rest[keep] = False
+            keep += np.flatnonzero(rest)[: most - len(keep)].tolist()
+        return np.array(keep)
+
+    def _link(self, layer: int, node: int, others: np.ndarray, sim: np.ndarray) -> None:
+        """Links both ways; a full neighbour lets its farthest go if the node is nearer."""
+        near, near_sim = self.layers[layer], self.sims[layer]
+        near[node, : len(others)], near_sim[node, : len(others)] = others, sim
+        worst = near_sim[others].argmin(axis=1)  # -inf where a place is free
+        ok = near_sim[others, worst] < sim
+        near[others[ok], worst[ok]], near_sim[others[ok], worst[ok]] = node, sim[ok]
 
     def add(self, q: np.ndarray, levels: np.ndarray) -> None:
         """Add nodes; those of a call find each other by their full similarities."""
@@ -129,6 +123,7 @@ class Graph:
                 found = self.beam(layer, q[mine], self.descend(q[mine], layer), BEAM_BUILD)
             elif layer >= top:
                 self.layers.append(np.full((len(self.x), LINKS * (1 + (layer == 0))), -1, np.int32))
+                self.sims.append(np.full(self.layers[-1].shape, -np.inf, np.float32))
                 self.entry = int(new[mine[0]])
             for k, i in enumerate(mine):
                 ids, sim = (found[0][k], found[1][k]) if found else (np.empty(0, np.int32), np.empty(0, np.float32))
@@ -136,7 +131,9 @@ class Graph:
                 ids, sim = np.concatenate([ids[ids >= 0], new[before]]), np.concatenate([sim[ids >= 0], each[i, before]])
                 if len(ids):
                     order = np.argsort(-sim, kind="stable")[:BEAM_BUILD]
-                    self._link(layer, int(new[i]), self._choose(sim[order], ids[order], LINKS))
+                    ids, sim = ids[order], sim[order]
+                    keep = self._choose(sim, ids, LINKS)
+                    self._link(layer, int(new[i]), ids[keep], sim[keep])
 
 
 def build(unit: np.ndarray, leader_cos: float) -> tuple[Graph, np.ndarray, np.ndarray]:
@@ -189,7 +186,7 @@ def in_range(g: Graph, q: np.ndarray, least: float, start: np.ndarray | None, ef
 
 def audited(g: Graph, q: np.ndarray, least: float, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """in_range(), its beams doubled until a sample of the queries has the pairs of brute force."""
-    ef = BEAM_QUERY
+    ef = BEAM_QUERY if start is None else BEAM_OWN
     sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     true = q[sample] @ g.x[: g.n].T >= least
     while True:
