@@ -236,14 +236,25 @@ def i3(t):
     return generations(edges, [1]).select(F.col("id").alias("seq"), "depth")
 
 
-@query("i4_lineage_walk")
-def i4(t):
+def walked(t):
     from kindred.operators.lineage import walk
 
     seeds = t["people"].where("birth_year IS NOT NULL").select("id", "given", "surname1", (F.col("birth_year") - 20).alias("lo"), (F.col("birth_year") + 20).alias("hi"), "place")
     return walk(seeds, t["acts"])
 
 
+@query("i4_lineage_walk")
+def i4(t):
+    return walked(t)
+
+
+@query("e15_i6_lineage_summary")
+def e15(t):
+    """By generation: nodes, those identified, missing links."""
+    found = F.col("state") == "identified"
+    return walked(t).groupBy("generation").agg(F.count("*").alias("nodes"), F.count_if(found).alias("identified"), F.count_if(~found).alias("missing"))
+
+
 @query("i5_siblings", f"WITH {FAM} SELECT a.id, fam.first_id, CASE WHEN a.id = fam.first_id THEN 'first' ELSE 'sibling' END AS role FROM acts a JOIN fam ON fk = {norm("concat_ws(' ', father_given, father_surname)")} AND mk = {norm("concat_ws(' ', mother_given, mother_surname)")} WHERE a.kind = 'bautismo' AND fk <> '' AND mk <> ''")
 def i5(t):
     fam = families(t["acts"]).where("fk <> '' AND mk <> ''").select("fk", "mk", "first_id")
