@@ -79,15 +79,20 @@ class Sequence:
             return out
         todo = np.flatnonzero(x >> _U(self.l) <= _U(self._highest()))
         h, want = (x[todo] >> _U(self.l)).astype(np.int64), x[todo] & ((_ONE << _U(self.l)) - _ONE)
-        at = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0)
-        while len(todo):
-            one = (self.high[at >> 6] >> (at & 63).astype(_U)) & _ONE == _ONE
-            todo, h, want, at = todo[one], h[one], want[one], at[one]
-            low = self._low(at - h)
-            met = low == want
-            out[todo[met]] = (at - h)[met]
-            go = low < want
-            todo, h, want, at = todo[go], h[go], want[go], at[go] + 1
+        # the values of upper bits h are lo to hi, between the zeros before and after them
+        lo = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1 - h, 0)
+        end = self._zero(h) - h
+        hi = end.copy()
+        go = np.flatnonzero(lo < hi)
+        while len(go):
+            mid = (lo[go] + hi[go]) >> 1
+            below = self._low(mid) < want[go]
+            lo[go] = np.where(below, mid + 1, lo[go])
+            hi[go] = np.where(below, hi[go], mid)
+            go = go[lo[go] < hi[go]]
+        there = np.flatnonzero(lo < end)
+        there = there[self._low(lo[there]) == want[there]]
+        out[todo[there]] = lo[there]
         return out
 
     def _highest(self) -> int:
