@@ -70,7 +70,8 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def classified(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """row_key, spans: array of start, end, kind, hash, n_owners, live, for rows that have candidates."""
     each = scanned.select("row_key", F.explode("spans").alias("s")).distinct().select("row_key", "s.*")
-    each = each.join(ownership(scanned).hint("merge"), "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    # the counts are written, so that the join has plain inputs, which adaptive execution can split for a hot value
+    each = each.join(stored(ownership(scanned), "owners").hint("merge"), "hash").withColumn("live", F.col("n_owners") <= max_owners)
     each = each.where((F.col("kind") < len(BASE)) | F.col("live"))
     return each.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "hash", "n_owners", "live"))).alias("spans"))
 
