@@ -25,7 +25,7 @@ SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 CHUNK_IS_SPACE = re.compile(f"[{SPACE}]")
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Chunks whose ids a worker keeps, and the longest that is kept.
-KEPT_CHUNKS, KEPT_LENGTH = 500_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 300_000, 48
 #: New chunks that the library encodes as one text.
 JOINED = 100
 
@@ -126,6 +126,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
             if offsets:
                 new.append(pa.array([[{"start": s, "end": e} for s, e in c.char_offsets(t or "", g)] for t, g in zip(texts, got, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(n for n, _ in added)])
+        c.kept.clear()  # the worker may do other work next
 
     return rest.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from ._common import small_batches
 
 BITS = 18
 SIZES = (2, 3, 4, 5)
-SAMPLE = 4000
+SAMPLE = 3000
 #: A bucket counts if so many training texts have it and its ratio is so far from 0.
 LEAST_TEXTS, LEAST_RATIO = 5, 0.25
 _U = np.uint32
@@ -71,7 +71,7 @@ class Model:
 
 
 def fit(rows: list[tuple[int, np.ndarray]], rate: float = 1.0, ridge: float = 1e-5, steps: int = 80) -> Model:
-    """Of (label, buckets) of the training texts. Without both labels the weights are 0 and the
+    """Of (label, buckets) of the training texts, a list that is used up. Without both labels the weights are 0 and the
     intercept says the one label there is (0 without rows)."""
     size = 1 << BITS
     y = np.array([label for label, _ in rows], np.float64)
@@ -86,10 +86,14 @@ def fit(rows: list[tuple[int, np.ndarray]], rate: float = 1.0, ridge: float = 1e
     live = np.flatnonzero(r)
     to = np.full(size, -1, np.int32)
     to[live] = np.arange(len(live), dtype=np.int32)
-    cols = [c[c >= 0] for c in (to[idx] for _, idx in rows)]
-    col = np.concatenate(cols)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in cols])
-    del cols
+    sizes = []
+    for k, (label, idx) in enumerate(rows):  # in place, so that the whole is held once
+        c = to[idx]
+        rows[k] = (label, c[c >= 0])
+        sizes.append(len(rows[k][1]))
+    col = np.concatenate([c for _, c in rows])
+    rows.clear()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     # a text's vector has length 1: long texts weigh no more than short ones
     x = r[live].astype(np.float32)[col]
     norm = np.sqrt(np.maximum(np.bincount(row, x * x, len(y)), 1e-12)).astype(np.float32)
