@@ -68,10 +68,11 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     windows = (at.select("item", "size", "ipos", "term", "count", F.explode(starts).alias("s"))
                .groupBy("item", "size", "s").agg(F.array_sort(F.collect_list(F.struct("count", "ipos", "term"))).alias("t")).where(F.size("t") == F.col("size")))
     anchors = stored(windows.select("item", F.col("t")[0].alias("a"), F.element_at("t", F.least(F.lit(2), F.size("t"))).alias("b"), "s", (F.col("s") + F.col("size") - 1).alias("e"))
-                     .groupBy("item", "a", "b").agg(F.min("s").alias("lo"), F.max("e").alias("hi")), "anchors")
+                     .groupBy("item", "a", "b").agg(F.min("s").alias("lo"), F.max("s").alias("last"), F.max("e").alias("hi")), "anchors")
     n = anchors.count()
     first = index.withColumnRenamed("term", "term_a").join(_small(anchors.withColumn("term_a", F.col("a.term")), n), "term_a")
-    first = first.select("rid", "item", (F.col("pos") - F.col("a.ipos")).alias("at"), F.col("b.term").alias("term"), (F.col("pos") - F.col("a.ipos") + F.col("b.ipos")).alias("pos"), "lo", "hi").where(F.col("at") + F.col("lo") >= 0)
+    # a text may begin within the item: only where the last window would begin before the text is there no match
+    first = first.select("rid", "item", (F.col("pos") - F.col("a.ipos")).alias("at"), F.col("b.term").alias("term"), (F.col("pos") - F.col("a.ipos") + F.col("b.ipos")).alias("pos"), "lo", "hi", "last").where(F.col("at") + F.col("last") >= 0)
     second = index.select("rid", "term", "pos").join(_small(anchors.select(F.col("b.term").alias("term")).distinct(), n), "term", "left_semi")
     found = stored(first.join(second.hint("merge"), ["rid", "term", "pos"]).groupBy("rid", "item", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "found")
     # all other terms of the windows that are left

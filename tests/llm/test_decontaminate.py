@@ -47,6 +47,16 @@ def test_brute_force(spark):
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
 
 
+def test_texts_cut_at_their_start(spark):
+    """The rarest terms are amid the item, so that its windows are one group, or at its ends, so that they are several."""
+    item = [f"v{i}" for i in range(15)]
+    for rare in ((7, 8), (1, 13)):
+        texts = [" ".join(item[i:]) for i in range(15)] + [" ".join(item[i:] + ["x"] + item[:i]) for i in range(15)] + [" ".join(item[: i + 1]) for i in range(15)]
+        docs = list(enumerate(texts)) + [(100 + i, f"{w} x " * 40) for i, w in enumerate(item) if i not in rare]
+        got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).drop("row_key").collect()
+        assert sorted(map(tuple, got), key=repr) == brute(docs, [(7, " ".join(item))], 10)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "one x two x three"), (2, "three two one"), (3, "one x x x x x x x x two three"), (4, None)], "doc_id long, text string")
     items = D.item_words(spark.createDataFrame([(7, "one two three")], "item_id long, text string"), 10)
