@@ -4,10 +4,10 @@ A document is the set of its word shingles, told by COORDS minwise values. In ea
 trees a node chooses a few coordinates and sends a document to one child for each, named by its value
 there; similar documents keep meeting. The first ROOTS levels need no counts and are walked where the
 document is. Then nodes of one document end, small ones are compared exhaustively by their values,
-large ones branch again; after LEVELS such levels a large node, by then a mass of near copies, is dealt
-to chunks that all hold its two outermost documents. Pairs that look similar
-enough are confirmed on full sets, first those of a spanning forest of each node, then all that would
-join different components. Documents of equal sets are one in all this."""
+large ones branch again; after LEVELS such levels a large node is dealt to chunks that all hold its two
+outermost documents. Pairs that look similar enough are confirmed on full sets, first those of a spanning
+forest of each chunk, then, over whole nodes and block against block, the best of each document with other
+components, and last all that would join different components. Documents of equal sets are one in all this."""
 
 from __future__ import annotations
 
@@ -118,7 +118,8 @@ def branch(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def final_nodes(sets: DataFrame, threshold: float, levels: int, small: int) -> DataFrame:
-    """(node, chunk, doc_id) of all nodes to compare, of 2 to small + 2 documents each; stored."""
+    """(node, chunk, doc_id, dealt) of all nodes to compare, in chunks of about small + 2 documents at most; dealt:
+    the node has several chunks; stored."""
     rows = sets.select("doc_id", F.explode("nodes").alias("node")).distinct()
     parts: list[DataFrame] = []
     for level in range(levels):
@@ -127,15 +128,15 @@ def final_nodes(sets: DataFrame, threshold: float, levels: int, small: int) -> D
         count = stored(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1"), f"count{level}")
         met = stored(rows.join(count.hint("merge"), "node"), f"met{level}")
         drop_stored(rows)
-        parts.append(met.where(F.col("n") <= small).select("node", F.lit(0).alias("chunk"), "doc_id"))
+        parts.append(met.where(F.col("n") <= small).select("node", F.lit(0).alias("chunk"), "doc_id", F.lit(False).alias("dealt")))
         big = met.where(F.col("n") > small)
         if level + 1 < levels:
             rows = branch(big.join(sets.select("doc_id", "values").hint("merge"), "doc_id"), threshold)
         else:
             chunks = F.ceil(F.col("n") / small).cast("int")
-            parts.append(big.select("node", F.pmod(F.xxhash64("node", "doc_id"), chunks).cast("int").alias("chunk"), "doc_id"))
+            parts.append(big.select("node", F.pmod(F.xxhash64("node", "doc_id"), chunks).cast("int").alias("chunk"), "doc_id", F.lit(True).alias("dealt")))
             ends = big.select("node", chunks.alias("k"), F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
-            parts.append(ends.select("node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), "doc_id"))
+            parts.append(ends.select("node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), "doc_id", F.lit(True).alias("dealt")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -166,12 +167,12 @@ def _forest(group: np.ndarray, i: np.ndarray, j: np.ndarray, same: np.ndarray) -
     return keep
 
 
-def _compare(rows: DataFrame, threshold: float, all_pairs: bool) -> DataFrame:
-    """(a, b), a < b, of (node, chunk, doc_id, n, component, values): pairs of a node whose values and sizes
-    allow the threshold, those of a forest or all between different components."""
+def _compare(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of (node, chunk, doc_id, n, values): of the pairs of a chunk whose values and sizes allow the
+    threshold those of a forest."""
     least = (threshold - SLACK) * COORDS
 
-    def pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, comp: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         size = np.diff(np.append(start, len(group)))
         later = np.repeat(start + size, size) - np.arange(len(group)) - 1  # rows after each in its group
@@ -182,15 +183,13 @@ def _compare(rows: DataFrame, threshold: float, all_pairs: bool) -> DataFrame:
             i = np.repeat(np.arange(at, to), later[at:to])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
             ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-            if all_pairs:
-                ok &= comp[i] != comp[j]
             i, j = i[ok], j[ok]
             same = (values[i] == values[j]).sum(axis=1)
             ok = same >= least
             got.append((i[ok], j[ok], same[ok]))
             at = to
         i, j, same = (np.concatenate([g[k] for g in got]) for k in range(3))
-        if not all_pairs and len(i):
+        if len(i):
             keep = _forest(group, i, j, same)
             i, j = i[keep], j[keep]
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
@@ -210,8 +209,8 @@ def _compare(rows: DataFrame, threshold: float, all_pairs: bool) -> DataFrame:
             group[new[new < to]] = 1
             if to:
                 part = t.slice(0, to)
-                values = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint16).reshape(-1, COORDS)
-                yield from pairs(part.column(2).to_numpy(), np.cumsum(group), part.column(3).to_numpy(), part.column(4).to_numpy(), values)
+                values = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(-1, COORDS)
+                yield from pairs(part.column(2).to_numpy(), np.cumsum(group), part.column(3).to_numpy(), values)
             held = t.slice(to).to_batches()
 
         for batch in batches:
@@ -222,7 +221,67 @@ def _compare(rows: DataFrame, threshold: float, all_pairs: bool) -> DataFrame:
             yield from flush(True)
 
     spark = rows.sparkSession
-    dealt = rows.select("node", "chunk", "doc_id", "n", "component", "values").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "chunk").sortWithinPartitions("node", "chunk", "doc_id")
+    dealt = rows.select("node", "chunk", "doc_id", "n", "values").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "chunk").sortWithinPartitions("node", "chunk", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(rows: DataFrame, own: DataFrame, threshold: float, best: bool, block: int) -> DataFrame:
+    """(a, b), a < b, of (node, doc_id, component): pairs of a node from different components whose values and
+    sizes allow the threshold, all of them or the best of each document. A node's documents outside its largest
+    component meet all its documents, a block of the ones and a block of the others at a time."""
+    least = (threshold - SLACK) * COORDS
+    per = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("node").agg(F.sum("k").alias("n_all"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = stored(mixed.select("node", F.col("most.component").alias("main"), F.ceil((F.col("n_all") - F.col("most.k")) / block).cast("int").alias("kl"), F.ceil(F.col("n_all") / block).cast("int").alias("kr")), "mixed")
+    open_ = stored(rows.join(mixed.hint("merge"), "node"), "open").join(own.select("doc_id", "n", "values").hint("merge"), "doc_id").withColumn("other", F.col("component") != F.col("main"))
+    deal = lambda seed, k: F.pmod(F.xxhash64("node", "doc_id", F.lit(seed)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    rest = ("doc_id", "n", "component", "other", "values")
+    left = open_.where("other").select("node", deal(1, "kl").alias("bl"), every("kr").alias("br"), F.lit(0).alias("side"), *rest)
+    right = open_.select("node", every("kl").alias("bl"), deal(2, "kr").alias("br"), F.lit(1).alias("side"), *rest)
+
+    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, ids, n, comp, other = (t.column(k).to_numpy() for k in range(3, 8))
+        values = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, COORDS)
+        cut = int(np.searchsorted(side, 1))
+        width = len(side) - cut
+        for at in range(0, cut if width else 0, max(1, 30_000 // max(1, width))):
+            mine = np.arange(at, min(cut, at + max(1, 30_000 // width)))
+            i, j = np.repeat(mine, width), np.tile(np.arange(cut, len(side)), len(mine))
+            # two that are both outside the largest component meet on both sides
+            ok = (comp[i] != comp[j]) & ~(other[j] & (ids[i] > ids[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            same = (values[i] == values[j]).sum(axis=1)
+            ok = same >= least
+            i, j, same = i[ok], j[ok], same[ok]
+            if best:
+                order = np.lexsort((-same, i))
+                order = order[np.append(True, i[order][1:] != i[order][:-1])] if len(order) else order
+                i, j = i[order], j[order]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j]), pa.int64()), pa.array(np.maximum(ids[i], ids[j]), pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([t.column(k).to_numpy() for k in range(3)])
+            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            edges = np.concatenate([[0], new, [t.num_rows] if last else []]).astype(np.int64)
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield from meet(t.slice(i, j - i))
+            held = t.slice(int(edges[-1])).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > 8000:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    spark = rows.sparkSession
+    dealt = left.unionByName(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "bl", "br").sortWithinPartitions("node", "bl", "br", "side")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -279,18 +338,19 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     own = sets.join(copies.hint("broadcast" if copies.count() <= BROADCAST_ROWS else "merge"), "doc_id", "left_anti").select("doc_id", "n", "nodes", "values")
     nodes = final_nodes(own, threshold, levels, small)
     labelled = nodes.join(own.select("doc_id", "n", "values").hint("merge"), "doc_id")
-    pairs = stored(_compare(labelled.withColumn("component", F.col("doc_id")), threshold, False), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = full_sets(docs, ids, shingle)
-    links = confirm(pairs, whole, percent)
-    parts = connected_components(links, "round1")
-    # nodes that still hold several components: all their other pairs
-    seen = stored(nodes.join(ids.hint("merge"), "doc_id", "left_semi").join(parts.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id"), "seen")
-    mixed = seen.groupBy("node", "chunk").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node", "chunk")
-    open_ = seen.join(mixed.hint("merge"), ["node", "chunk"]).join(own.select("doc_id", "n", "values").hint("merge"), "doc_id")
-    more = _compare(open_, threshold, True).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    late = confirm(more, whole, percent)
-    edges = links.union(late).union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    pairs = stored(_compare(labelled, threshold), "pairs")
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = stored(ends(pairs), "ids")
+    links = confirm(pairs, full_sets(docs, ids, shingle), percent)
+    # who was near nobody in a whole node is done; in one that was dealt to chunks all go on
+    met = nodes.join(ids.withColumn("near", F.lit(True)).hint("merge"), "doc_id", "left").where("dealt OR near").select("node", "doc_id").distinct()
+    for best in (True, False):
+        parts = connected_components(links, "round")
+        seen = stored(met.join(parts.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id"), "seen")
+        more = stored(_across(seen, own, threshold, best, 4 * small).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
+        links = links.union(confirm(more, full_sets(docs, ends(more), shingle), percent))
+        pairs = pairs.union(more)
+    edges = links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     comp = connected_components(edges, "documents").withColumnRenamed("id", "doc_id")
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(comp.hint("merge"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

@@ -67,6 +67,20 @@ def test_brute_force(spark, small):
     assert got == brute(rows, 3, 85)
 
 
+def test_long_boilerplate(spark):
+    """Documents that share most words (similarity about 0.82) fill large nodes; pairs of 0.96 among them are found."""
+    rng = random.Random(6)
+    frame = [f"f{i}" for i in range(200)]
+    texts = []
+    for d in range(80):
+        t = [*frame, *(f"o{d}x{i}" for i in range(22))]
+        texts += [t, [*t[:-4], *(f"p{d}x{i}" for i in range(4))]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.near_documents(df, 1, 90, trees=4, small=6).collect())) == brute(rows, 1, 90)
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A B C D")], "doc_id long, text string")
     got = sorted(map(tuple, N.near_documents(df).collect()), key=repr)
