@@ -4,14 +4,16 @@ A document is the set of its word shingles, told by COORDS minwise values. In ea
 trees a node chooses a few coordinates and sends a document to one child for each, named by its value
 there; similar documents keep meeting. The first ROOTS levels need no counts and are walked where the
 document is. Then nodes of one document end, small ones are compared exhaustively by their values,
-large ones branch again; after LEVELS such levels a large node is dealt to chunks that all hold its two
-outermost documents. Pairs that look similar enough are confirmed on full sets, first those of a spanning
-forest of each chunk, then, over whole nodes and block against block, the best of each document with other
-components, and last all that would join different components. Documents of equal sets are one in all this."""
+large ones branch again; what is large after LEVELS such levels is compared whole, block against block.
+Of the pairs that look similar enough a node returns a spanning forest, so as many rows as it has
+documents at most. The forests' components are clusters: two documents that met and look similar are in
+one cluster, whatever trees they met in. In each cluster the full sets are compared, again block against
+block, and a spanning forest of the true links is returned; pairs already joined are not compared.
+Documents of equal sets are one in all this."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,12 @@ from . import _words as W
 from ._common import connected_components, drop_stored, small_batches, stored
 
 COORDS, TREES, ROOTS, LEVELS, SMALL = 128, 7, 3, 2, 128
-#: How far below the threshold a share of equal values may be (over 3 standard deviations), and the share
-#: from which a pair with a node's first document needs no other pair.
-SLACK, SURE = 0.10, 0.94
+#: Documents, and hashes of full sets, in a block.
+BLOCK, BLOCK_HASHES = 512, 1 << 19
+#: How far below the threshold a share of equal values may be, in standard deviations.
+SLACK = 3.5
+#: Pairs looked at together.
+PAIRS = 30_000
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 _MUL = W.mix(np.arange(1, COORDS + 1, dtype=_U)) | _U(1)
@@ -117,84 +122,42 @@ def branch(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("doc_id", "node", "values").mapInArrow(run, "doc_id long, node long").distinct()
 
 
-def final_nodes(sets: DataFrame, threshold: float, levels: int, small: int) -> DataFrame:
-    """(node, chunk, doc_id, dealt) of all nodes to compare, in chunks of about small + 2 documents at most; dealt:
-    the node has several chunks; stored."""
+def least_equal(threshold: float) -> float:
+    """Equal values from which a pair may have the similarity `threshold`."""
+    return COORDS * (threshold - SLACK * (threshold * (1 - threshold) / COORDS) ** 0.5)
+
+
+def final_nodes(sets: DataFrame, threshold: float, levels: int, small: int, block: int) -> DataFrame:
+    """(node, doc_id, blocks) of all nodes to compare; blocks: how many blocks the node is dealt to; stored."""
     rows = sets.select("doc_id", F.explode("nodes").alias("node")).distinct()
     parts: list[DataFrame] = []
     for level in range(levels):
         rows = stored(rows, f"level{level}")
         # written, so that the join has plain inputs, which adaptive execution can split where a node is hot
-        count = stored(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1"), f"count{level}")
+        count = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"count{level}")
         met = stored(rows.join(count.hint("merge"), "node"), f"met{level}")
         drop_stored(rows)
-        parts.append(met.where(F.col("n") <= small).select("node", F.lit(0).alias("chunk"), "doc_id", F.lit(False).alias("dealt")))
+        parts.append(met.where(F.col("n") <= small).select("node", "doc_id", F.lit(1).alias("blocks")))
         big = met.where(F.col("n") > small)
         if level + 1 < levels:
             rows = branch(big.join(sets.select("doc_id", "values").hint("merge"), "doc_id"), threshold)
         else:
-            chunks = F.ceil(F.col("n") / small).cast("int")
-            parts.append(big.select("node", F.pmod(F.xxhash64("node", "doc_id"), chunks).cast("int").alias("chunk"), "doc_id", F.lit(True).alias("dealt")))
-            ends = big.select("node", chunks.alias("k"), F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
-            parts.append(ends.select("node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), "doc_id", F.lit(True).alias("dealt")))
+            parts.append(big.select("node", "doc_id", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return stored(out.distinct(), "nodes")
 
 
-def _forest(group: np.ndarray, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Of pairs within groups, those of a spanning forest that takes the most similar first. Pairs with a
-    group's first row that are surely similar are taken as they are."""
-    first = np.searchsorted(group, group[i]) == i
-    star = first & (same >= SURE * COORDS)
-    root = np.arange(len(group))
-    root[j[star]] = i[star]
-    keep = star.copy()
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    rest = np.flatnonzero(~star & (root[i] != root[j]))
-    for k in rest[np.argsort(-same[rest], kind="stable")]:
-        a, b = find(i[k]), find(j[k])
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep[k] = True
-    return keep
-
-
-def _compare(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, of (node, chunk, doc_id, n, values): of the pairs of a chunk whose values and sizes allow the
-    threshold those of a forest."""
-    least = (threshold - SLACK) * COORDS
-
-    def pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        size = np.diff(np.append(start, len(group)))
-        later = np.repeat(start + size, size) - np.arange(len(group)) - 1  # rows after each in its group
-        ends = np.cumsum(later)
-        at, got = 0, []
-        while at < len(group):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 30_000, "right")))
-            i = np.repeat(np.arange(at, to), later[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
-            ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            same = (values[i] == values[j]).sum(axis=1)
-            ok = same >= least
-            got.append((i[ok], j[ok], same[ok]))
-            at = to
-        i, j, same = (np.concatenate([g[k] for g in got]) for k in range(3))
-        if len(i):
-            keep = _forest(group, i, j, same)
-            i, j = i[keep], j[keep]
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+def _per_pair_of_blocks(rows: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(a, b) that work returns for rows(key, doc_id, blocks, ...). A key's documents are dealt to its blocks by
+    hash, and each block meets itself and each other one: work gets the rows of some whole pairs of blocks, with
+    `key`, x, y (x <= y), block, doc_id, ... and sorted so."""
+    spark, rest = rows.sparkSession, [c for c in rows.columns if c not in (key, "doc_id", "blocks")]
+    own = rows.withColumn("block", F.pmod(F.xxhash64(key, "doc_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = own.select(F.col(key).alias("key"), "block", "doc_id", *rest, other.alias("o")).select("key", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "doc_id", *rest)
+    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -202,129 +165,158 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             t = pa.Table.from_batches(held).combine_chunks()
-            node, chunk = t.column(0).to_numpy(), t.column(1).to_numpy()
-            new = np.flatnonzero((node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            to = len(node) if last else (int(new[-1]) if len(new) else 0)
-            group = np.zeros(to, np.int64)
-            group[new[new < to]] = 1
+            k = np.stack([t.column(c).to_numpy() for c in range(3)])
+            new = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            to = t.num_rows if last else (int(new[-1]) if len(new) else 0)
             if to:
-                part = t.slice(0, to)
-                values = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(-1, COORDS)
-                yield from pairs(part.column(2).to_numpy(), np.cumsum(group), part.column(3).to_numpy(), values)
+                yield from work(t.slice(0, to))
             held = t.slice(to).to_batches()
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) > 8000:
+            if sum(b.num_rows for b in held) > 8000 or sum(b.nbytes for b in held) > 1 << 24:
                 yield from flush(False)
         if held:
             yield from flush(True)
 
-    spark = rows.sparkSession
-    dealt = rows.select("node", "chunk", "doc_id", "n", "values").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "chunk").sortWithinPartitions("node", "chunk", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(rows: DataFrame, own: DataFrame, threshold: float, best: bool, block: int) -> DataFrame:
-    """(a, b), a < b, of (node, doc_id, component): pairs of a node from different components whose values and
-    sizes allow the threshold, all of them or the best of each document. A node's documents outside its largest
-    component meet all its documents, a block of the ones and a block of the others at a time."""
-    least = (threshold - SLACK) * COORDS
-    per = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("node").agg(F.sum("k").alias("n_all"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = stored(mixed.select("node", F.col("most.component").alias("main"), F.ceil((F.col("n_all") - F.col("most.k")) / block).cast("int").alias("kl"), F.ceil(F.col("n_all") / block).cast("int").alias("kr")), "mixed")
-    open_ = stored(rows.join(mixed.hint("merge"), "node"), "open").join(own.select("doc_id", "n", "values").hint("merge"), "doc_id").withColumn("other", F.col("component") != F.col("main"))
-    deal = lambda seed, k: F.pmod(F.xxhash64("node", "doc_id", F.lit(seed)), F.col(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    rest = ("doc_id", "n", "component", "other", "values")
-    left = open_.where("other").select("node", deal(1, "kl").alias("bl"), every("kr").alias("br"), F.lit(0).alias("side"), *rest)
-    right = open_.select("node", every("kl").alias("bl"), deal(2, "kr").alias("br"), F.lit(1).alias("side"), *rest)
-
-    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, ids, n, comp, other = (t.column(k).to_numpy() for k in range(3, 8))
-        values = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, COORDS)
-        cut = int(np.searchsorted(side, 1))
-        width = len(side) - cut
-        for at in range(0, cut if width else 0, max(1, 30_000 // max(1, width))):
-            mine = np.arange(at, min(cut, at + max(1, 30_000 // width)))
-            i, j = np.repeat(mine, width), np.tile(np.arange(cut, len(side)), len(mine))
-            # two that are both outside the largest component meet on both sides
-            ok = (comp[i] != comp[j]) & ~(other[j] & (ids[i] > ids[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-            i, j = i[ok], j[ok]
-            same = (values[i] == values[j]).sum(axis=1)
-            ok = same >= least
-            i, j, same = i[ok], j[ok], same[ok]
-            if best:
-                order = np.lexsort((-same, i))
-                order = order[np.append(True, i[order][1:] != i[order][:-1])] if len(order) else order
-                i, j = i[order], j[order]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j]), pa.int64()), pa.array(np.maximum(ids[i], ids[j]), pa.int64())], names=["a", "b"])
+    return dealt.mapInArrow(run, "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = np.stack([t.column(k).to_numpy() for k in range(3)])
-            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            edges = np.concatenate([[0], new, [t.num_rows] if last else []]).astype(np.int64)
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                yield from meet(t.slice(i, j - i))
-            held = t.slice(int(edges[-1])).to_batches()
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) > 8000:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
+def _groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows where the pairs of blocks of t begin, and where the second block of each begins (its end, if the
+    two are the same block)."""
+    key, x, y, block = (t.column(c).to_numpy() for c in range(4))
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    first = np.add.reduceat(block == x, start)
+    return start, np.where(first < size, start + first, start + size)
 
-    spark = rows.sparkSession
-    dealt = left.unionByName(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "bl", "br").sortWithinPartitions("node", "bl", "br", "side")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
 
+def _same_ids(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each row the first row of its group with its doc_id."""
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+    order = np.lexsort((ids, group))
+    new = np.append(True, (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1]))
+    out = np.empty(len(ids), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, set (binary: sorted 64-bit hashes) of the documents with these ids; stored."""
-    side = ids.hint("broadcast" if ids.count() <= BROADCAST_ROWS else "merge")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = W.text_bytes(batch.column(1))
-            for i, j in W.slices(at):
-                s, so = document_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s[so[k] : so[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["doc_id", "set"])
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of (node, doc_id, blocks, n, values): a spanning forest, in each pair of blocks, of the pairs whose
+    values and sizes allow the threshold."""
+    least = least_equal(threshold)
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n = t.column(4).to_numpy(), t.column(5).to_numpy()
+        values = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, COORDS)
+        start, second = _groups(t)
+        size = np.diff(np.append(start, len(ids)))
+        row, end = np.arange(len(ids)), np.repeat(start + size, size)
+        # a row meets those after it, or, where two blocks meet, those of the second
+        cross = np.repeat(second < start + size, size)
+        begin = np.where(cross, np.where(row < np.repeat(second, size), np.repeat(second, size), end), row + 1)
+        later = end - begin
+        ends = np.cumsum(later)
+        root = _same_ids(ids, start)
+        a, b = [], []
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            i = np.repeat(np.arange(at, to), later[at:to])
+            j = np.arange(len(i)) + np.repeat(begin[at:to] - (np.cumsum(later[at:to]) - later[at:to]), later[at:to])
+            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            ok = (values[i] == values[j]).sum(axis=1) >= least
+            for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                x, y = find(p), find(q)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(ids[p])
+                    b.append(ids[q])
+            while (root[root] != root).any():
+                root = root[root]
+            at = to
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return stored(chosen.mapInArrow(run, "doc_id long, set binary"), "sets")
+    return _per_pair_of_blocks(rows.select("node", "doc_id", "blocks", "n", "values"), "node", work)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) those with 100 * intersection >= percent * union of the full sets; stored."""
+def full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
+    """chosen(doc_id, cluster, blocks) with n, values and set (binary: sorted 64-bit hashes) of the documents."""
+    side = chosen.hint("broadcast" if chosen.count() <= BROADCAST_ROWS else "merge")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("cluster", "doc_id", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            last, x = None, np.empty(0, _U)
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                y = np.frombuffer(q.as_buffer(), _U)
-                if last is None or p.as_buffer() != last:
-                    last = p.as_buffer()
-                    x = np.frombuffer(last, _U)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum()) if len(x) else 0
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(run, "a long, b long").distinct(), "confirmed")
-
-
-def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
+            raw, at = W.text_bytes(batch.column(3))
+            for i, j in W.slices(at):
+                s, so = document_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], shingle)
+                full = np.flatnonzero(np.diff(so))
+                if len(full):
+                    values = minwise(s, np.append(so[full], so[-1]))
+                    yield pa.RecordBatch.from_arrays([
+                        *(c.slice(i, j - i).take(pa.array(full)) for c in batch.columns[:3]), pa.array(np.diff(so)[full], pa.int64()),
+                        pa.array([v.tobytes() for v in values], pa.binary()), pa.array([s[so[k] : so[k + 1]].tobytes() for k in full], pa.binary()),
+                    ], names=["cluster", "doc_id", "blocks", "n", "values", "set"])
+
+    return rows.mapInArrow(run, "cluster long, doc_id long, blocks int, n long, values binary, set binary")
+
+
+def links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of (cluster, doc_id, blocks, n, values, set): a spanning forest, in each pair of blocks, of the pairs
+    with 100 * intersection >= percent * union of the full sets. What joins documents of one block is returned
+    only where that block meets itself."""
+    least = least_equal(percent / 100)
+
+    def within(ids: np.ndarray, n: np.ndarray, values: np.ndarray, sets: list[np.ndarray], second: int) -> Iterator[tuple[int, int]]:
+        size = len(ids)
+        root = _same_ids(ids, np.zeros(1, np.int64))
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        at = np.concatenate([[0], np.cumsum(n)])
+        seen = np.full(int(code.max()) + 1, -1, np.int32)
+        # first inside the blocks, then, over what is still apart, across
+        turns = [(range(size), lambda i: (i + 1, second if i < second else size)), (range(second if second < size else 0), lambda i: (second, size))]
+        for turn, (left, reach) in enumerate(turns):
+            for i in left:
+                p, q = reach(i)
+                j = np.arange(p, q)
+                j = j[(root[p:q] != root[i]) & (100 * np.minimum(n[i], n[p:q]) >= percent * np.maximum(n[i], n[p:q]))]
+                j = j[(values[j] == values[i]).sum(axis=1) >= least]
+                if not len(j):
+                    continue
+                seen[code[at[i] : at[i + 1]]] = i
+                to = np.cumsum(n[j])
+                place = np.arange(to[-1]) + np.repeat(at[j] - (to - n[j]), n[j])
+                both = np.add.reduceat(seen[code[place]] == i, to - n[j], dtype=np.int64)
+                for k in j[100 * both >= percent * (n[i] + n[j] - both)].tolist():
+                    if root[k] != root[i]:
+                        root[root == root[k]] = root[i]
+                        if turn or second == size:
+                            yield int(ids[i]), int(ids[k])
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        start, second = _groups(t)
+        out: list[tuple[int, int]] = []
+        for i, m, j in zip(start.tolist(), second.tolist(), [*start[1:].tolist(), t.num_rows], strict=True):
+            if j - i > 1:
+                part = t.slice(i, j - i)
+                values = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint16).reshape(-1, COORDS)
+                sets = [np.frombuffer(x.as_buffer(), _U) for x in part.column(7)]
+                out += within(part.column(4).to_numpy(), part.column(5).to_numpy(), values, sets, m - i)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return _per_pair_of_blocks(rows, "cluster", work)
+
+
+def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     A text of fewer words than a shingle, but not none, is one shingle; a text without words, or null, is
@@ -333,24 +325,19 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     threshold = percent / 100
     every = stored(sketches(docs, shingle, threshold, trees), "sketches")
     sets = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    first = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1")
-    copies = stored(sets.select("doc_id", "digest").join(first.hint("merge"), "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    own = sets.join(copies.hint("broadcast" if copies.count() <= BROADCAST_ROWS else "merge"), "doc_id", "left_anti").select("doc_id", "n", "nodes", "values")
-    nodes = final_nodes(own, threshold, levels, small)
-    labelled = nodes.join(own.select("doc_id", "n", "values").hint("merge"), "doc_id")
-    pairs = stored(_compare(labelled, threshold), "pairs")
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = stored(ends(pairs), "ids")
-    links = confirm(pairs, full_sets(docs, ids, shingle), percent)
-    # who was near nobody in a whole node is done; in one that was dealt to chunks all go on
-    met = nodes.join(ids.withColumn("near", F.lit(True)).hint("merge"), "doc_id", "left").where("dealt OR near").select("node", "doc_id").distinct()
-    for best in (True, False):
-        parts = connected_components(links, "round")
-        seen = stored(met.join(parts.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id"), "seen")
-        more = stored(_across(seen, own, threshold, best, 4 * small).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
-        links = links.union(confirm(more, full_sets(docs, ends(more), shingle), percent))
-        pairs = pairs.union(more)
-    edges = links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    # written, so that adaptive execution can split the join where a set is hot
+    first = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1"), "first")
+    copies = stored(sets.select("doc_id", "digest").join(first.hint("merge"), "digest").where("doc_id <> rep").select("doc_id", "digest", "rep").distinct(), "copies")
+    side = copies.select("doc_id", "digest").hint("broadcast" if copies.count() <= BROADCAST_ROWS // 4 else "merge")
+    own = stored(sets.join(side, ["doc_id", "digest"], "left_anti").select("doc_id", "n", "nodes", "values"), "own")
+    nodes = final_nodes(own, threshold, levels, small, block)
+    forest = candidates(nodes.join(own.select("doc_id", "n", "values").hint("merge"), "doc_id"), threshold)
+    clusters = stored(connected_components(forest, "candidates").join(own.select(F.col("doc_id").alias("id"), "n").hint("merge"), "id"), "clusters")
+    size = stored(clusters.groupBy(F.col("component_id").alias("cluster")).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks")), "blocks")
+    members = clusters.select(F.col("id").alias("doc_id"), F.col("component_id").alias("cluster")).distinct()
+    chosen = stored(members.join(size.hint("merge"), "cluster").select("doc_id", "cluster", "blocks"), "chosen")
+    found = links(full_sets(docs, chosen, shingle), percent)
+    edges = found.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     comp = connected_components(edges, "documents").withColumnRenamed("id", "doc_id")
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(comp.hint("merge"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

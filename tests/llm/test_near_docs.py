@@ -81,8 +81,49 @@ def test_long_boilerplate(spark):
     assert sorted(map(tuple, N.near_documents(df, 1, 90, trees=4, small=6).collect())) == brute(rows, 1, 90)
 
 
+def quick_brute(rows, k, percent):
+    """As brute, all pairs by one product of matrices."""
+    sets = [{tuple(w[a : a + k]) for a in range(len(w) - k + 1)} for w in (words(t) for _, t in rows)]
+    code = {g: i for i, g in enumerate(set().union(*sets))}
+    m = np.zeros((len(rows), len(code)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [code[g] for g in x]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    root = np.arange(len(rows))
+    while True:
+        low = np.array([root[link[i]].min() for i in range(len(rows))])
+        if (low == root).all():
+            break
+        root = low
+    ids = [i for i, _ in rows]
+    return sorted((ids[i], len(sets[i]), ids[root[i]], bool(root[i] == i)) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize(("copies", "shingle", "percent"), [(800, 3, 85), (2500, 3, 85), (800, 5, 80)])
+def test_large_group_of_near_copies(spark, copies, shingle, percent):
+    """Near copies of one text, most pairs a little under or over the threshold: no link is lost, and there are about
+    as many pairs as documents."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(copies):
+        t = list(base)
+        for _ in range(rng.choice([3, 4, 4, 6])):
+            t[rng.randrange(200)] = f"x{rng.randrange(5000)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, N.near_documents(df, shingle, percent).collect())) == quick_brute(rows, shingle, percent)
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A B C D")], "doc_id long, text string")
     got = sorted(map(tuple, N.near_documents(df).collect()), key=repr)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 1, None, True), (2, 1, 1, False)], key=repr) or len(got) == 4
     assert N.near_documents(df.where("false")).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are one document: a copy in one of its texts does not hide the others."""
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "p q r s t u"), (3, "p q r s t u"), (4, "x y z x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.near_documents(df).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
