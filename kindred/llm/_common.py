@@ -3,9 +3,12 @@ written tables that cut lineage, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,14 @@ def stored(df: DataFrame, name: str, state: Observation | None = None) -> DataFr
     return out
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table that stored() wrote and that no later plan reads."""
     path = getattr(df, "_kindred_path", None)
@@ -61,6 +72,14 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
+def release() -> None:
+    """At a task's end: give memory that Python freed back, as the worker process stays for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(a, b) links between long ids -> (id, component_id), one row per id that has a link to another,
     component_id the smallest id reachable.

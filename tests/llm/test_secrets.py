@@ -60,3 +60,43 @@ def test_redact(spark):
     text = {(r.doc_id, r.source): r.text for r in out.collect()}
     assert out.count() == len(CASES) and text[1, "a"] is None and text[2, "a"] == ""
     assert text[3, "a"] == "[assign]\" x" and text[6, "c"] == "[hex] [assign]" and text[8, "a"] == "[opaque] owned" and text[9, "a"] == "Zz9" * 9
+
+
+def test_redact_clashing_names_and_marks(spark):
+    """Columns with the names that redact() uses inside, characters of four bytes, a byte order mark, and spans that meet."""
+    rows = [(1, "\ufeff\ufeff👩 password=abcdefghijkl\ufeffé 0123456789abcdef", "a", "k", 5, "c", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_key string, cuts int, chars string, last int, `from` int")
+    out = S.redact(df)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.collect()] == [(1, "\ufeff\ufeff👩 [assign]\ufeffé [hex]", *rows[0][2:])]
+
+
+def test_brute_force_on_random_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ["token=", "AKIA", "0123456789abcdef", "Zz9_", "deadbeef", " ", ": ", "é", "password", "api-key", "'", "X1" * 9, "\n"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 80))), "a") for i in range(300)]
+    got = S.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    check(rows, got)
+    text = {i: t for i, t, _ in rows}
+    for r in got:  # opaque spans are runs that no base span touches
+        own = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9_+/-]{20,}", text[r.doc_id])]
+        own = [f"opaque:{a}:{b}" for a, b in own if re.search("[0-9]", text[r.doc_id][a:b]) and re.search("[A-Za-z]", text[r.doc_id][a:b]) and not any(x < b and a < y for x, _, y in base(text[r.doc_id]))]
+        assert set(s for s in r.spans.split(",") if s.startswith("opaque")) <= set(own)
+
+
+def test_time_grows_with_the_matches(spark):
+    """One text of many matches: four times the matches take no more than about four times the time."""
+    import time
+
+    took = []
+    for n in (2_000, 10_000, 40_000):
+        df = spark.createDataFrame([(1, " ".join(f"{i:016x}" for i in range(n)), "a")], "doc_id long, text string, source string")
+        began = time.time()
+        (row,) = S.secrets(df).collect()
+        took.append(time.time() - began)
+        assert row.n_hex == n
+        (row,) = S.redact(df).collect()
+        assert row.text == " ".join(["[hex]"] * n)
+    assert took[2] < 6 * took[1] + 3
