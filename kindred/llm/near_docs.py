@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import connected_components, drop_stored, small_batches, stored
+from ._common import connected_components, drop_stored, release, small_batches, stored
 
-COORDS, TREES, ROOTS, LEVELS, SMALL = 128, 7, 3, 2, 128
+COORDS, TREES, ROOTS, LEVELS, SMALL = 128, 12, 3, 2, 128
 #: Documents, and hashes of full sets, in a block.
 BLOCK, BLOCK_HASHES = 512, 1 << 19
 #: How far below the threshold a share of equal values may be, in standard deviations.
@@ -105,6 +105,7 @@ def sketches(docs: DataFrame, shingle: int, threshold: float, trees: int) -> Dat
                     pa.array([nodes[p] if p >= 0 else [] for p in put.tolist()], pa.list_(pa.int64())),
                     pa.array([values[p].tobytes() if p >= 0 else None for p in put.tolist()], pa.binary()),
                 ], names=["doc_id", "n", "digest", "nodes", "values"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest string, nodes array<long>, values binary")
 
@@ -178,6 +179,7 @@ def _per_pair_of_blocks(rows: DataFrame, key: str, work: Callable[[pa.Table], It
                 yield from flush(False)
         if held:
             yield from flush(True)
+        release()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -327,7 +329,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     sets = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # written, so that adaptive execution can split the join where a set is hot
     first = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1"), "first")
-    copies = stored(sets.select("doc_id", "digest").join(first.hint("merge"), "digest").where("doc_id <> rep").select("doc_id", "digest", "rep").distinct(), "copies")
+    copies = stored(sets.select("doc_id", "digest").join(first.hint("merge"), "digest").where("doc_id <> rep").select("doc_id", "digest", "rep"), "copies")
     side = copies.select("doc_id", "digest").hint("broadcast" if copies.count() <= BROADCAST_ROWS // 4 else "merge")
     own = stored(sets.join(side, ["doc_id", "digest"], "left_anti").select("doc_id", "n", "nodes", "values"), "own")
     nodes = final_nodes(own, threshold, levels, small, block)
