@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import release, small_batches
 
 #: White space as the split pattern has it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 CHUNK_IS_SPACE = re.compile(f"[{SPACE}]")
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Chunks whose ids a worker keeps, and the longest that is kept.
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 150_000, 48
+#: Characters cut to chunks at a time; a longer text is cut in turns, each up to a chunk's end.
+TURN = 1 << 18
 #: New chunks that the library encodes as one text.
 JOINED = 100
 
@@ -59,8 +61,39 @@ class Coder:
         self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        chunked = [CHUNK.findall(t) if t else [] for t in texts]
+        """The ids of each text as little-endian unsigned 32-bit integers; null is empty. Some texts, or a part of
+        a long one, are cut to chunks at a time."""
+        out: list[bytes] = []
+        turn: list[list[str]] = []
+        size = 0
+        for t in texts:
+            if t and len(t) > TURN:
+                out += self._encode(turn)
+                turn, size = [], 0
+                out.append(b"".join(x for part in self._parts(t) for x in self._encode([part])))
+                continue
+            turn.append(CHUNK.findall(t) if t else [])
+            size += len(t or "")
+            if size > TURN:
+                out += self._encode(turn)
+                turn, size = [], 0
+        return out + self._encode(turn)
+
+    @staticmethod
+    def _parts(text: str) -> Iterator[list[str]]:
+        """The chunks of a long text, some at a time."""
+        at, wide = 0, TURN
+        while at < len(text):
+            got = CHUNK.findall(text, at, at + wide)
+            if at + wide < len(text):
+                del got[-2:]  # the cut may have changed them
+                if not got:
+                    wide *= 2
+                    continue
+            yield got
+            at, wide = at + sum(map(len, got)), TURN
+
+    def _encode(self, chunked: list[list[str]]) -> list[bytes]:
         if len(self.kept) > KEPT_CHUNKS:
             self.kept.clear()
         new = set().union(*chunked).difference(self.kept) if chunked else set()
@@ -127,6 +160,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
                 new.append(pa.array([[{"start": s, "end": e} for s, e in c.char_offsets(t or "", g)] for t, g in zip(texts, got, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(n for n, _ in added)])
         c.kept.clear()  # the worker may do other work next
+        release()
 
     return rest.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import release, small_batches
 
 BITS = 18
 SIZES = (2, 3, 4, 5)
@@ -133,15 +133,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             if batch.num_rows:
                 got = [x.tobytes() for x in features(batch.column(1).to_pylist(), stamp)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["label", "buckets"])
+        release()
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, np.ndarray]] = []
         for batch in batches:
             rows += [(k, np.frombuffer(x, np.int32)) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).to_bytes()], pa.binary())], names=["model"])
+        release()
 
     rows = chosen.select("label", "text").mapInArrow(featured, "label int, buckets binary")
-    return Model.from_bytes(bytes(rows.repartition(1).mapInArrow(fitted, "model binary").first().model))
+    return Model.from_bytes(bytes(rows.repartition(1).mapInArrow(fitted, "model binary").collect()[0].model))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
@@ -158,6 +160,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
         for batch in batches:
             got = [m.score(x) for x in features(batch.column(batch.schema.get_field_index(text)).to_pylist(), stamp)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, to])
+        release()
 
     return rest.mapInArrow(run, schema)
 

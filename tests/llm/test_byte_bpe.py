@@ -37,6 +37,14 @@ def test_like_the_library(spark, plain):
     assert {r.doc_id: bytes(r.decoded) for r in back} == {i: (t or "").encode() for i, t in enumerate(TEXTS)}
 
 
+def test_long_texts_in_turns(plain, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TURN", 40)
+    c = byte_bpe.Coder(PATH, P.PATTERN)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab  \n\t'1.é日"), n)) for n in (39, 41, 500, 3000)] + ["x" * 500, " " * 300 + "y", "a b " * 90]
+    assert c.encode([*texts, None, *TEXTS]) == [np.array(plain.encode_ordinary(t or ""), "<u4").tobytes() for t in [*texts, None, *TEXTS]]
+
+
 def test_query(spark, sf, plain):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = op10_byte_bpe(spark, sf).collect()
