@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import byte_bpe, decontaminate, near_docs, secrets, toxicity
-from kindred.llm._common import stored
+from kindred.llm._common import new_name, stored
 
 #: No SQL for the classifier and the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -25,7 +25,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels, rejects go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, to="_toxic").where(F.col("_toxic") < 0.5).select(docs.columns)
+    to = new_name(docs, "_toxic")
+    return toxicity.score(docs, model, to=to).where(F.col(to) < 0.5).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
