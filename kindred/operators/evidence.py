@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 
 from .matching import first_by, in_window, resolve
+from .tables import written
 
 
 def audit_citations(quotes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -38,27 +39,94 @@ def plausibility(findings: DataFrame, people: DataFrame, resolved: DataFrame) ->
     return b.join(told.hint("merge"), "id", "left").select("id", status.alias("status"))
 
 
+def with_tokens(df: DataFrame, card: dict[str, str]) -> DataFrame:
+    """df(person, names) with the token lists that relative_named() compares, each made once."""
+    others = F.array_join(F.coalesce("names", F.array().cast("array<string>")), " ")
+    return df.withColumns({"own_t": T.name_tokens("person"), "others_t": T.name_tokens(others), **{f"{r}_t": T.name_tokens(c) for r, c in card.items()}})
+
+
+def relative_named(roles: list[str]) -> Column:
+    """The first role whose known name has all its tokens among the other names of the document and not just among
+    the person's own, in a table of with_tokens(); null if none."""
+    told = lambda r: (F.size(f"{r}_t") > 0) & T.subset(F.col(f"{r}_t"), F.col("others_t")) & ~T.subset(F.col(f"{r}_t"), F.col("own_t"))
+    return F.coalesce(*[F.when(told(r), r) for r in roles])
+
+
+def confirmed_parents(findings: DataFrame, people: DataFrame) -> DataFrame:
+    """id, father, mother, father_year, mother_year of birth and marriage findings that name one father and one
+    mother, both known for sure, with evidence and of different names. Both roles are resolved at once."""
+    side = lambda r, role: F.struct(F.lit(r).alias("role"), T.parent_of("names", "quote", role).alias("name"))
+    asked = findings.where(T.event_class("kind").isin("birth", "marriage")).select("id", F.explode(F.array(side("f", "padre"), side("m", "madre"))).alias("x")).select("id", "x.*").where("name IS NOT NULL")
+    # written, as the names are long to find and used several times
+    asked = written(asked.withColumn("qid", F.concat_ws(":", "id", "role")), "asked")
+    who = resolve(asked.select("qid", "name", F.lit(None).cast("int").alias("year")), people).where("person_id IS NOT NULL").select("qid", "person_id")
+    cards = people.where("n_evidence > 0").select(F.col("id").alias("person_id"), T.norm("name").alias("k"), "birth_year")
+    each = asked.select("qid", "id", "role").join(who.hint("merge"), "qid").join(cards.hint("merge"), "person_id")
+    of = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c)))
+    both = each.groupBy("id").agg(of("f", "person_id").alias("father"), of("m", "person_id").alias("mother"), of("f", "birth_year").alias("father_year"), of("m", "birth_year").alias("mother_year"), of("f", "k").alias("fk"), of("m", "k").alias("mk"))
+    return both.where("father IS NOT NULL AND mother IS NOT NULL AND fk <> mk").select("id", "father", "mother", "father_year", "mother_year")
+
+
+def places_met(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """(a, b): the distinct places of either side of which one contains the other, normalised. The shorter one's
+    first four characters are a piece of the longer one, so the join is on equality."""
+    x = left.select(a, T.norm(a).alias("x")).distinct().where("x <> ''")
+    y = right.select(b, T.norm(b).alias("y")).distinct().where("y <> ''")
+    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(c) - i + 1)), lambda n: F.substring(c, i, n)))))).alias("g")
+    one = lambda p, c, q, d: p.select("*", F.substring(c, 1, 4).alias("g")).join(q.select("*", pieces(d)).hint("merge"), "g").where(F.contains(d, F.col(c))).select(a, b)
+    return one(x, "x", y, "y").union(one(y, "y", x, "x")).distinct()
+
+
+#: Years around the family's own in which a new person is coherent, and those without any.
+GENERATION_WINDOW, ANY_YEAR = 90, (1700, 2100)
+
+
 def classify(findings: DataFrame, people: DataFrame, resolved: DataFrame) -> DataFrame:
-    """id, level, facts of every finding. A known person gives the fact `name`; a coherent date, a shared place
-    and a named relative are further facts. A contradiction or a namesake is weak, two facts confirm, one is
-    strong; without a person a finding is weak here."""
-    p = people.select(F.col("id").alias("person_id"), "birth_year", F.col("place").alias("home"))
-    j = findings.join(resolved.select(F.col("qid").alias("id"), "person_id").hint("merge"), "id", "left").join(p.hint("merge"), "person_id", "left")
-    fit = T.date_fit(T.year_of("fecha"), "birth_year", "kind")
-    near = F.coalesce(T.same_place("place", "home"), F.lit(False))
-    facts = F.array_compact(F.array(F.lit("name"), F.when(fit == 1, "date"), F.when(near, "place")))
-    level = F.when(F.col("person_id").isNull() | F.col("homonym") | F.coalesce(fit == -1, F.lit(False)), "weak").when(F.size(facts) >= 2, "confirmed").otherwise("strong")
-    return j.select("id", "person_id", level.alias("level"), F.when(level == "confirmed", facts).otherwise(F.array().cast("array<string>")).alias("facts"))
+    """id, person_id, level, facts, father, mother (the two confirmed parents, if any) of every finding.
+
+    A known person gives the fact `name`; a coherent date, a shared place and a named relative are further
+    facts. A contradiction or a namesake is weak, two facts confirm, one is strong. An unknown person is
+    confirmed by two confirmed parents whose years allow the event; else two surname words of the family,
+    a place of it and a coherent year make it strong, and the rest is weak."""
+    card = {"father": "p_father", "mother": "p_mother", "spouse": "p_spouse"}
+    p = people.select(F.col("id").alias("person_id"), "birth_year", F.col("place").alias("home"), *[F.col(r).alias(c) for r, c in card.items()])
+    f = findings.select("id", "person", "names", "kind", "place", "homonym", T.year_of("fecha").alias("y"))
+    j = f.join(resolved.select(F.col("qid").alias("id"), "person_id").hint("merge"), "id", "left").join(p.hint("merge"), "person_id", "left")
+    j = with_tokens(j, card).select("id", "person_id", "place", "y", "homonym", T.date_fit("y", "birth_year", "kind").alias("fit"), F.coalesce(T.same_place("place", "home"), F.lit(False)).alias("near"), relative_named([*card]).alias("relative"))
+    j = j.withColumn("facts", F.array_compact(F.array(F.lit("name"), F.when(F.col("fit") == 1, "date"), F.when(F.col("near"), "place"), F.col("relative"))))
+    known = F.when(F.col("homonym") | F.coalesce(F.col("fit") == -1, F.lit(False)), "weak").when(F.size("facts") >= 2, "confirmed").otherwise("strong")
+    j = j.withColumn("known", known)
+    # unknown people: what their surname words, place and year say
+    parents = written(confirmed_parents(findings, people), "parents")
+    surnames = people.select(F.explode(F.flatten(F.array(T.name_tokens("surname1"), T.name_tokens("surname2"), *[T.name_tokens(T.surname_of(r)) for r in card]))).alias("tok")).distinct()
+    words = findings.select("id", F.explode(T.name_tokens("person")).alias("tok")).join(surnames.hint("merge"), "tok").groupBy("id").agg(F.count("*").alias("words"))
+    places = places_met(findings.select("place"), "place", people.select(F.col("place").alias("home")), "home").select("place").distinct().withColumn("of_family", F.lit(True))
+    span = people.agg(F.min("birth_year").alias("lo"), F.max("birth_year").alias("hi")).first()  # two numbers
+    lo, hi = ANY_YEAR if span.lo is None else (span.lo - GENERATION_WINDOW, span.hi + GENERATION_WINDOW)
+    j = j.join(parents.hint("merge"), "id", "left").join(words.hint("merge"), "id", "left").join(places.hint("merge"), "place", "left")
+    n = F.coalesce("words", F.lit(0))
+    coherent = F.coalesce(F.when(n > 0, F.col("y").between(lo, hi)).otherwise(F.col("y").between(*ANY_YEAR)), F.lit(False))
+    sure = F.col("father").isNotNull() & (T.parent_clash("y", "father_year", "mother_year") == "")
+    new = F.when(sure, "confirmed").when((n >= 2) & F.col("of_family").isNotNull() & coherent, "strong").otherwise("weak")
+    level = F.when(F.col("person_id").isNull(), new).otherwise(F.col("known"))
+    told = F.when(level != "confirmed", F.array().cast("array<string>")).when(F.col("person_id").isNull(), F.array(F.lit("father"), F.lit("mother"))).otherwise(F.col("facts"))
+    return j.select("id", "person_id", level.alias("level"), told.alias("facts"), "father", "mother")
+
+
+#: Parts that a surname's acts are dealt to, so that a common surname is not one task.
+SALTS = 16
 
 
 def compatibility(acts: DataFrame, people: DataFrame) -> DataFrame:
     """id, seq, score, verdict of acts and people who share a surname (others are incompatible by rule). The
-    pairs come from joins on each surname of either side, not from a product."""
+    pairs come from a join on each surname of either side, dealt to SALTS parts; a pair that shares both is
+    kept at the first that they share, so nothing is shuffled again."""
     p = people.select("seq", T.norm("given").alias("pg"), T.norm("surname1").alias("p1"), T.norm("surname2").alias("p2"), "birth_year", T.norm("place").alias("home"))
     a = acts.select("id", T.norm("given").alias("ag"), T.norm("surname1").alias("a1"), T.norm("surname2").alias("a2"), "year", T.norm("municipality").alias("mun"))
-    left = a.withColumn("s", F.explode(F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != ""))))
-    right = p.withColumn("s", F.explode(F.array_distinct(F.array("p1", "p2"))))
-    pairs = left.join(right.hint("merge"), "s").drop("s").dropDuplicates(["id", "seq"])
+    left = a.withColumn("s", F.explode(F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != "")))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    right = p.withColumn("s", F.explode(F.array_distinct(F.array("p1", "p2")))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    first = F.when((F.col("a1") != "") & ((F.col("a1") == F.col("p1")) | (F.col("a1") == F.col("p2"))), F.col("a1")).otherwise(F.col("a2"))
+    pairs = left.join(right.hint("merge"), ["s", "salt"]).where(F.col("s") == first)
     common = ((F.col("p1") == F.col("a1")) | (F.col("p1") == F.col("a2"))).cast("int") + ((F.col("p2") == F.col("a1")) | (F.col("p2") == F.col("a2"))).cast("int")
     d = F.abs(F.col("year") - F.col("birth_year"))
     inside = F.contains("mun", F.col("home"))

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 
 from .matching import first_by, in_window
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, which driver and executors share: rounds of a
-    loop neither grow the plan nor depend on an executor that may be lost. Without the setting (tests) df
-    is kept in memory and on disk."""
-    spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df.persist()
-    path = f"{at.rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import written
 
 
 def generations(edges: DataFrame, roots: DataFrame | list, most: int = 40) -> DataFrame:
@@ -36,9 +22,28 @@ def generations(edges: DataFrame, roots: DataFrame | list, most: int = 40) -> Da
         new = edges.join(last.hint("merge"), "child").select(F.col("parent").alias("id")).distinct().join(seen.select("id").hint("merge"), "id", "left_anti").withColumn("depth", F.lit(k))
         new = written(new, "depth")
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new)
-    return seen
+    return seen  # as deep as was asked for
+
+
+def kin_expansion(seeds: DataFrame, acts: DataFrame, most: int = 60) -> DataFrame:
+    """(g, s): given-name keys and surnames of the kin of seeds(given, surname1). A round looks up the baptisms
+    whose father is one of the kin that the last round added, which certifies them, and adds the child and both
+    parents; names are merged by key. It ends when nobody is added; more than `most` rounds raise."""
+    part = lambda g, s: F.struct(T.given_key(g).alias("g"), T.norm(s).alias("s"))
+    a = acts.where("kind = 'bautismo'").select(part("father_given", "father_surname").alias("f"), F.array(part("given", "surname1"), part("father_given", "father_surname"), part("mother_given", "mother_surname")).alias("who"))
+    # families of the same names say the same, so each is looked up once
+    a = written(a.select("f.*", F.explode("who").alias("w")).select(F.col("g").alias("fg"), F.col("s").alias("fs"), "w.*").where("fg <> '' AND g <> ''").distinct(), "certified")
+    new = written(seeds.select(part("given", "surname1").alias("x")).select("x.*").where("g <> ''").distinct(), "kin")
+    kin = new
+    for _ in range(most):
+        met = new.select(F.col("g").alias("fg"), F.col("s").alias("fs")).join(a.hint("merge"), ["fg", "fs"]).select("g", "s").distinct()
+        new = written(met.join(kin.hint("merge"), ["g", "s"], "left_anti"), "kin")
+        if new.isEmpty():
+            return kin
+        kin = kin.unionByName(new)
+    raise RuntimeError(f"the kin still grow after {most} rounds")
 
 
 def walk(seeds: DataFrame, acts: DataFrame, most: int = 14, floor: int = 1550) -> DataFrame:
@@ -59,7 +64,7 @@ def walk(seeds: DataFrame, acts: DataFrame, most: int = 14, floor: int = 1550) -
         done = part if done is None else done.unionByName(part)
         up = best.join(now.select("node", "generation").hint("merge"), "node").select("year", "municipality", "generation", F.explode(F.array(F.struct(F.col("father_given").alias("given"), F.col("father_surname").alias("surname1")), F.struct(F.col("mother_given").alias("given"), F.col("mother_surname").alias("surname1")))).alias("x"))
         nxt = up.where("x.given <> ''").select((F.col("generation") + 1).alias("generation"), "x.given", "x.surname1", (F.col("year") - 35).alias("lo"), (F.col("year") - 18).alias("hi"), F.col("municipality").alias("place"))
-        nxt = nxt.withColumn("node", F.concat(T.person_key("given", "surname1"), F.lit("::"), F.col("lo"))).groupBy("node").agg(*[F.min(c).alias(c) for c in cols if c != "node"])
+        nxt = nxt.withColumn("node", F.concat(T.person_key("given", "surname1"), F.lit("::"), F.col("lo"))).groupBy("node").agg(F.min(F.struct(*[c for c in cols if c != "node"])).alias("m")).select("node", "m.*")
         now = written(nxt.select(cols), "walk")
         if now.isEmpty():
             break

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 
+from .tables import written
+
 #: Years in a bucket of a range join.
 BUCKET = 25
 
@@ -42,18 +44,19 @@ def subset_pairs(a: DataFrame, aid: str, aname: str, b: DataFrame, bid: str, bna
 
 
 def resolve(queries: DataFrame, people: DataFrame, tolerance: int = 6) -> DataFrame:
-    """queries(qid, name, year) -> qid, person_id, tier: the person that a name stands for, null if none or
-    not sure. Exact normalised name first, else all tokens within the card's; of several, the one whose
+    """queries(qid, name, year) -> qid, person_id, tier, n (cards that fit): the person that a name stands for, null
+    if none or not sure. Exact normalised name first, else all tokens within the card's; of several, the one whose
     birth year is within the tolerance."""
     p = people.select(F.col("id").alias("person_id"), F.col("name").alias("card"), "birth_year")
-    exact = queries.withColumn("k", T.norm("name")).where("k <> ''").join(p.withColumn("k", T.norm("card")).hint("merge"), "k").select("qid", "year", "person_id", "birth_year", F.lit(1).alias("tier"))
-    rest = queries.join(exact.select("qid").distinct().hint("merge"), "qid", "left_anti")
-    pairs = token_pairs(rest, "qid", "name", p, "person_id", "card")
-    loose = pairs.join(rest.select("qid", "year").hint("merge"), "qid").join(p.select("person_id", "birth_year").hint("merge"), "person_id").select("qid", "year", "person_id", "birth_year", F.lit(2).alias("tier"))
+    names = queries.select("name").distinct()
+    exact = written(names.withColumn("k", T.norm("name")).where("k <> ''").join(p.withColumn("k", T.norm("card")).hint("merge"), "k").select("name", "person_id", "birth_year", F.lit(1).alias("tier")), "exact")
+    rest = names.join(exact.select("name").distinct().hint("merge"), "name", "left_anti")
+    loose = token_pairs(rest.withColumn("qname", F.col("name")), "name", "qname", p, "person_id", "card").join(p.select("person_id", "birth_year").hint("merge"), "person_id").select("name", "person_id", "birth_year", F.lit(2).alias("tier"))
+    cards = exact.unionByName(written(loose, "loose"))
     near = F.abs(F.col("year") - F.col("birth_year")) <= tolerance
-    found = exact.unionByName(loose).groupBy("qid").agg(F.min("tier").alias("tier"), F.count("*").alias("n"), F.min("person_id").alias("one"), F.count_if(near).alias("k"), F.min(F.when(near, F.col("person_id"))).alias("dated"))
+    found = queries.select("qid", "name", "year").join(cards.hint("merge"), "name").groupBy("qid").agg(F.min("tier").alias("tier"), F.count("*").alias("n"), F.min("person_id").alias("one"), F.count_if(near).alias("k"), F.min(F.when(near, F.col("person_id"))).alias("dated"))
     pick = F.when(F.col("n") == 1, F.col("one")).when(F.col("k") == 1, F.col("dated"))
-    return queries.select("qid").join(found.hint("merge"), "qid", "left").select("qid", pick.alias("person_id"), F.when(pick.isNotNull(), F.col("tier")).alias("tier"))
+    return queries.select("qid").join(found.hint("merge"), "qid", "left").select("qid", pick.alias("person_id"), F.when(pick.isNotNull(), F.col("tier")).alias("tier"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def acts_naming(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:

@@ -9,7 +9,9 @@ from kindred.functions import text as T
 from kindred.operators import evidence as E
 from kindred.operators.families import couples, families, without_baptism, without_marriage
 from kindred.operators.matching import first_by, in_window, resolve, token_pairs
+from kindred.operators.tables import written
 
+from .names import BAD, ROLE
 from .registry import event_class, given_key, norm, query, tokens, year_of
 
 
@@ -20,7 +22,7 @@ def resolved(q: str, p: str = "r") -> str:
     return f"""{p}pn AS MATERIALIZED (SELECT id AS pid, birth_year AS yr, {norm('name')} AS k, {tokens('name')} AS t FROM people ),
 {p}qn AS MATERIALIZED (SELECT DISTINCT name, {norm('name')} AS k, {tokens('name')} AS t FROM {q}),
 {p}ex AS (SELECT name, pid, yr, 1 AS tier FROM {p}qn JOIN {p}pn USING (k) WHERE k <> ''),
-{p}lo AS (SELECT name, pid, yr, 2 AS tier FROM {p}qn a JOIN {p}pn b ON len(a.t) > 0 AND list_has_all(b.t, a.t) WHERE name NOT IN (SELECT name FROM {p}ex)),
+{p}lo AS (SELECT name, pid, yr, 2 AS tier FROM {p}qn a JOIN (SELECT pid, yr, t, unnest(t) AS tok FROM {p}pn) b ON b.tok = a.t[1] AND list_has_all(b.t, a.t) WHERE name NOT IN (SELECT name FROM {p}ex)),
 {p}al AS (SELECT * FROM {p}ex UNION ALL SELECT * FROM {p}lo),
 {p}rs AS (SELECT q.qid, min(tier) AS tier, count(*) AS n, min(pid) AS one, count(*) FILTER (abs(q.year - yr) <= 6) AS k, min(pid) FILTER (abs(q.year - yr) <= 6) AS dated FROM {q} q JOIN {p}al USING (name) GROUP BY q.qid),
 {p}res AS (SELECT q.qid, CASE WHEN n = 1 THEN one WHEN k = 1 THEN dated END AS person_id, CASE WHEN n = 1 OR k = 1 THEN tier END AS tier FROM {q} q LEFT JOIN {p}rs USING (qid))"""
@@ -35,7 +37,7 @@ def finding_names(t):
 
 @query("d1_resolve", f"WITH {FQ}, {resolved('fq')} SELECT * FROM rres")
 def d1(t):
-    return resolve(finding_names(t), t["people"])
+    return resolve(finding_names(t), t["people"]).drop("n")
 
 
 @query("d2_attach_person", f"WITH {FQ}, {resolved('fq')} SELECT kind, person_id IS NOT NULL AS known, count(*) AS n FROM findings f JOIN rres ON qid = f.id GROUP BY ALL")
@@ -69,17 +71,17 @@ def d4(t):
 
 
 @query("d7_compatibility", f"""
-WITH p AS (SELECT seq, {norm('given')} AS g, {norm('surname1')} AS s1, {norm('surname2')} AS s2, birth_year, {norm('place')} AS place FROM people WHERE province = 'ASIA'),
+WITH p AS (SELECT seq, {norm('given')} AS g, {norm('surname1')} AS s1, {norm('surname2')} AS s2, birth_year, {norm('place')} AS place FROM people ),
 a AS (SELECT id, {norm('given')} AS g, {norm('surname1')} AS s1, {norm('surname2')} AS s2, year, {norm('municipality')} AS mun FROM acts ),
 c AS (SELECT a.id, p.seq, a.g = p.g AS same, CAST(p.s1 = a.s1 OR p.s1 = a.s2 AS INT) + CAST(p.s2 = a.s1 OR p.s2 = a.s2 AS INT) AS k, abs(a.year - p.birth_year) AS d, p.place, a.mun, a.year, p.birth_year FROM a JOIN p ON a.s1 = p.s1 OR a.s1 = p.s2 OR (a.s2 <> '' AND (a.s2 = p.s1 OR a.s2 = p.s2))),
 s AS (SELECT id, seq, (CASE WHEN same AND k = 2 THEN 2.0 WHEN k >= 2 THEN 1.0 ELSE 0.5 END) + (CASE WHEN d <= 5 THEN 1 ELSE 0 END) + (CASE WHEN place <> '' AND contains(mun, place) THEN 1 ELSE 0 END) AS score, coalesce(d > 25, false) AS conflict, (d IS NULL AND year IS NOT NULL) OR d > 5 OR place = '' OR NOT contains(mun, place) AS reserve FROM c)
 SELECT CASE WHEN conflict THEN 'incompatible' WHEN score >= 2 AND coalesce(reserve, false) THEN 'reserves' WHEN score >= 2 THEN 'compatible' ELSE 'insufficient' END AS verdict, count(*) AS n, CAST(sum(score) AS DOUBLE) AS score FROM s GROUP BY 1""")
 def d7(t):
-    return E.compatibility(t["acts"], t["people"].where("province = 'ASIA'")).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return E.compatibility(t["acts"], t["people"]).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 @query("f1_best_person", f"""
-WITH p AS (SELECT seq, {norm('given')} AS g, {norm('surname1')} AS s1, {norm('surname2')} AS s2, birth_year, {norm('place')} AS place FROM people WHERE province = 'ASIA'),
+WITH p AS (SELECT seq, {norm('given')} AS g, {norm('surname1')} AS s1, {norm('surname2')} AS s2, birth_year, {norm('place')} AS place FROM people ),
 a AS (SELECT id, {norm('given')} AS g, {norm('surname1')} AS s1, {norm('surname2')} AS s2, year, {norm('municipality')} AS mun FROM acts ),
 c AS (SELECT a.id, p.seq, a.g = p.g AS same, CAST(p.s1 = a.s1 OR p.s1 = a.s2 AS INT) + CAST(p.s2 = a.s1 OR p.s2 = a.s2 AS INT) AS k, abs(a.year - p.birth_year) AS d, p.place, a.mun, a.year FROM a JOIN p ON a.s1 = p.s1 OR a.s1 = p.s2 OR (a.s2 <> '' AND (a.s2 = p.s1 OR a.s2 = p.s2))),
 s AS (SELECT id, seq, (CASE WHEN same AND k = 2 THEN 2.0 WHEN k >= 2 THEN 1.0 ELSE 0.5 END) + (CASE WHEN d <= 5 THEN 1 ELSE 0 END) + (CASE WHEN place <> '' AND contains(mun, place) THEN 1 ELSE 0 END) AS score, coalesce(d > 25, false) AS conflict, (d IS NULL AND year IS NOT NULL) OR d > 5 OR place = '' OR NOT contains(mun, place) AS reserve FROM c),
@@ -87,17 +89,17 @@ v AS (SELECT *, CASE WHEN conflict THEN 3 WHEN score >= 2 AND coalesce(reserve,
 SELECT id, seq, CAST(rank AS INT) AS rank, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, score DESC, seq) AS r FROM v) WHERE r = 1""")
 def f1(t):
     rank = F.array_position(F.array(*[F.lit(v) for v in ("compatible", "reserves", "insufficient", "incompatible")]), F.col("verdict")).cast("int") - 1
-    scored = E.compatibility(t["acts"], t["people"].where("province = 'ASIA'")).withColumn("rank", rank)
+    scored = E.compatibility(t["acts"], t["people"]).withColumn("rank", rank)
     return first_by(scored, ["id"], "rank", F.desc("score"), "seq").select("id", "seq", "rank", "score")
 
 
 @query("d10_document_people", f"""
-WITH p AS (SELECT seq, {tokens('name')} AS t FROM people ), q AS (SELECT id, {tokens("concat(given, ' ', surname1, ' ', municipality)")} AS t FROM acts WHERE kind = 'defuncion'),
+WITH p AS (SELECT seq, {tokens('name')} AS t FROM people ), q AS (SELECT id, {tokens("concat(given, ' ', surname1, ' ', municipality)")} AS t FROM acts ),
 m AS (SELECT q.id, p.seq, 100 * len(list_intersect(p.t, q.t)) - len(p.t) AS score FROM q JOIN p ON list_has_any(p.t, q.t))
 SELECT id, seq, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, seq) AS r FROM m WHERE score > 0) WHERE r = 1""")
 def d10(t):
     p = t["people"].select("seq", T.name_tokens("name").alias("pt")).select("seq", F.size("pt").alias("k"), F.explode("pt").alias("tok"))
-    q = t["acts"].where("kind = 'defuncion'").select("id", F.explode(T.name_tokens(F.concat_ws(" ", "given", "surname1", "municipality"))).alias("tok"))
+    q = t["acts"].select("id", F.explode(T.name_tokens(F.concat_ws(" ", "given", "surname1", "municipality"))).alias("tok"))
     scored = q.join(p.hint("merge"), "tok").groupBy("id", "seq").agg((100 * F.count("*") - F.max("k")).cast("int").alias("score")).where("score > 0")
     return first_by(scored, ["id"], F.desc("score"), "seq")
 
@@ -211,21 +213,118 @@ def f2(t):
     return E.pick_act(t["people"], t["acts"], -5, 10)
 
 
-CLASSIFY = f"""WITH {FQ}, {resolved('fq')},
-j AS (SELECT f.id, f.homonym, {year_of('f.fecha')} AS y, {event_class('f.kind')} AS k, {norm('f.place')} AS place, f.person, p.id AS pid, p.birth_year, {norm('p.place')} AS pplace, {tokens("concat(p.father, ' ', p.mother, ' ', p.spouse)")} AS rel, {tokens("array_to_string(f.names, ' ')")} AS others FROM findings f LEFT JOIN rres ON qid = f.id LEFT JOIN people p ON p.id = rres.person_id),
-s AS (SELECT *, CASE WHEN y IS NULL OR birth_year IS NULL THEN NULL WHEN k = 'birth' THEN CASE WHEN abs(y - birth_year) <= 8 THEN 1 ELSE -1 END WHEN k = 'death' THEN CASE WHEN y - birth_year BETWEEN 0 AND 110 THEN 1 ELSE -1 END WHEN y - birth_year BETWEEN 6 AND 90 THEN 1 WHEN y - birth_year < -4 OR y - birth_year > 110 THEN -1 ELSE 0 END AS fit, place <> '' AND pplace <> '' AND (contains(place, pplace) OR contains(pplace, place)) AS near FROM j)
-SELECT id, CASE WHEN pid IS NULL THEN 'weak' WHEN homonym OR fit = -1 THEN 'weak' WHEN 1 + CAST(coalesce(fit = 1, false) AS INT) + CAST(coalesce(near, false) AS INT) >= 2 THEN 'confirmed' ELSE 'strong' END AS level FROM s"""
+PARENTS = " UNION ALL ".join(f"SELECT concat(id, ':{r}') AS qid, id, '{r}' AS role, min(name) AS name, CAST(NULL AS INT) AS year FROM ({ROLE.format(role)}) WHERE len(name) >= 3 AND NOT {BAD} GROUP BY id HAVING count(DISTINCT {norm('name')}) = 1" for r, role in (("f", "padre"), ("m", "madre")))
+CONFIRMED_PARENTS = f"""pq AS MATERIALIZED ({PARENTS}), {resolved('pq', 'c')},
+pe AS (SELECT pq.id, role, p.id AS pid, {norm('p.name')} AS k, p.birth_year FROM pq JOIN cres USING (qid) JOIN people p ON p.id = person_id JOIN findings f ON f.id = pq.id WHERE p.n_evidence > 0 AND {event_class('f.kind')} IN ('birth', 'marriage')),
+cp AS (SELECT a.id, a.pid AS father, b.pid AS mother, a.birth_year AS fy, b.birth_year AS my FROM pe a JOIN pe b ON a.id = b.id AND a.role = 'f' AND b.role = 'm' WHERE a.k <> b.k)"""
 
 
-@query("i1_classify", CLASSIFY)
+@query("d6_confirmed_parents", f"WITH {CONFIRMED_PARENTS} SELECT id, father, mother, fy AS father_year, my AS mother_year FROM cp")
+def d6(t):
+    return E.confirmed_parents(t["findings"], t["people"])
+
+
+def _told(c: str) -> str:
+    return f"len({tokens(c)}) > 0 AND list_has_all({tokens("array_to_string(f.names, ' ')")}, {tokens(c)}) AND NOT list_has_all({tokens('f.person')}, {tokens(c)})"
+
+
+RELATIVE = f"CASE WHEN {_told('p.father')} THEN 'father' WHEN {_told('p.mother')} THEN 'mother' WHEN {_told('p.spouse')} THEN 'spouse' END"
+
+
+@query("d5_relative_named", f"WITH {FQ}, {resolved('fq')} SELECT f.id, {RELATIVE} AS relative FROM findings f JOIN rres ON qid = f.id JOIN people p ON p.id = person_id")
+def d5(t):
+    who = resolve(finding_names(t), t["people"]).where("person_id IS NOT NULL").select(F.col("qid").alias("id"), "person_id")
+    cards = t["people"].select(F.col("id").alias("person_id"), "father", "mother", "spouse")
+    j = t["findings"].select("id", "person", "names").join(who.hint("merge"), "id").join(cards.hint("merge"), "person_id")
+    roles = ["father", "mother", "spouse"]
+    return E.with_tokens(j, {r: r for r in roles}).select("id", E.relative_named(roles).alias("relative"))
+
+
+SURNAME_OF = lambda c: f"regexp_extract({c}, '^\\S+ (.*)$', 1)"
+LEVELS = f"""WITH {FQ}, {resolved('fq')}, {CONFIRMED_PARENTS},
+ap AS (SELECT DISTINCT unnest(list_concat({tokens('surname1')}, {tokens('surname2')}, {tokens(SURNAME_OF('father'))}, {tokens(SURNAME_OF('mother'))}, {tokens(SURNAME_OF('spouse'))})) AS tok FROM people ),
+ak AS (SELECT id, count(*) AS words FROM (SELECT id, unnest({tokens('person')}) AS tok FROM findings ) JOIN ap USING (tok) GROUP BY id),
+pl AS (SELECT DISTINCT a.place FROM (SELECT DISTINCT place FROM findings ) a JOIN (SELECT DISTINCT place AS home FROM people ) b ON {norm('place')} <> '' AND {norm('home')} <> '' AND (contains({norm('place')}, {norm('home')}) OR contains({norm('home')}, {norm('place')}))),
+yr AS (SELECT min(birth_year) - 90 AS lo, max(birth_year) + 90 AS hi FROM people ),
+j AS (SELECT f.id, f.homonym, {year_of('f.fecha')} AS y, {event_class('f.kind')} AS k, {norm('f.place')} AS place, f.place IN (SELECT place FROM pl) AS of_family, f.person, p.id AS pid, p.birth_year, {norm('p.place')} AS pplace, {RELATIVE} AS rel, coalesce(words, 0) AS words, cp.id IS NOT NULL AND NOT coalesce({year_of('f.fecha')} - fy NOT BETWEEN 13 AND 80, false) AND NOT coalesce({year_of('f.fecha')} - my NOT BETWEEN 13 AND 55, false) AS sure
+ FROM findings f LEFT JOIN rres ON qid = f.id LEFT JOIN people p ON p.id = rres.person_id LEFT JOIN cp ON cp.id = f.id LEFT JOIN ak ON ak.id = f.id),
+s AS (SELECT *, CASE WHEN y IS NULL OR birth_year IS NULL THEN NULL WHEN k = 'birth' THEN CASE WHEN abs(y - birth_year) <= 8 THEN 1 ELSE -1 END WHEN k = 'death' THEN CASE WHEN y - birth_year BETWEEN 0 AND 110 THEN 1 ELSE -1 END WHEN y - birth_year BETWEEN 6 AND 90 THEN 1 WHEN y - birth_year < -4 OR y - birth_year > 110 THEN -1 ELSE 0 END AS fit, coalesce(place <> '' AND pplace <> '' AND (contains(place, pplace) OR contains(pplace, place)), false) AS near FROM j),
+fa AS (SELECT *, list_filter(['name', CASE WHEN fit = 1 THEN 'date' END, CASE WHEN near THEN 'place' END, rel], lambda x: x IS NOT NULL) AS facts FROM s),
+lv AS (SELECT id, person, pid, CASE WHEN pid IS NULL THEN CASE WHEN sure THEN 'confirmed' WHEN words >= 2 AND of_family AND coalesce(CASE WHEN words > 0 THEN y BETWEEN lo AND hi ELSE y BETWEEN 1700 AND 2100 END, false) THEN 'strong' ELSE 'weak' END WHEN homonym OR coalesce(fit = -1, false) THEN 'weak' WHEN len(facts) >= 2 THEN 'confirmed' ELSE 'strong' END AS level, facts, sure FROM fa, yr)"""
+
+
+@query("i1_classify", f"{LEVELS} SELECT id, level, CASE WHEN level <> 'confirmed' THEN '' WHEN pid IS NULL THEN 'father,mother' ELSE array_to_string(facts, ',') END AS facts FROM lv")
 def i1(t):
-    return E.classify(t["findings"], t["people"], resolve(finding_names(t), t["people"])).select("id", "level")
+    return levels(t).select("id", "level", F.array_join("facts", ",").alias("facts"))
+
+
+def levels(t):
+    return written(E.classify(t["findings"], t["people"], resolve(finding_names(t), t["people"])), "levels")
 
 
-@query("e6_levels", f"WITH c AS ({CLASSIFY[:0]}SELECT * FROM ({CLASSIFY.replace('WITH ', 'WITH ', 1)})) SELECT level, kind, count(*) AS n FROM c JOIN findings f ON f.id = c.id GROUP BY ALL" if False else CLASSIFY.replace("SELECT id, CASE WHEN pid IS NULL", ", lv AS (SELECT id, CASE WHEN pid IS NULL").rstrip() + ") SELECT level, kind, count(*) AS n FROM lv JOIN findings f USING (id) GROUP BY ALL")
+@query("e6_levels", f"{LEVELS} SELECT level, kind, count(*) AS n FROM lv JOIN findings f USING (id) GROUP BY ALL")
 def e6(t):
-    lv = E.classify(t["findings"], t["people"], resolve(finding_names(t), t["people"])).select("id", "level")
-    return lv.join(t["findings"].select("id", "kind").hint("merge"), "id").groupBy("level", "kind").agg(F.count("*").alias("n"))
+    return levels(t).select("id", "level").join(t["findings"].select("id", "kind").hint("merge"), "id").groupBy("level", "kind").agg(F.count("*").alias("n"))
+
+
+@query("i2_reclassified_candidates", f"{LEVELS} SELECT {norm('person')} AS k, max(CASE level WHEN 'confirmed' THEN 2 WHEN 'strong' THEN 1 ELSE 0 END) AS level, count(*) AS n, min(id) AS first FROM lv WHERE pid IS NULL GROUP BY 1")
+def i2(t):
+    """People who are not in the tree, each with the best level of its findings. What was said before plays no part,
+    so doing it again gives the same."""
+    rank = F.when(F.col("level") == "confirmed", 2).when(F.col("level") == "strong", 1).otherwise(0)
+    new = levels(t).where("person_id IS NULL").select("id", rank.alias("rank"))
+    return t["findings"].select("id", T.norm("person").alias("k")).join(new.hint("merge"), "id").groupBy("k").agg(F.max("rank").alias("level"), F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+@query("i2_section_totals", f"{LEVELS} SELECT CASE WHEN pid IS NOT NULL THEN 'tree' WHEN level = 'weak' THEN 'hints' ELSE 'candidates' END AS section, level, count(*) AS findings, count(DISTINCT {norm('person')}) AS people FROM lv GROUP BY ALL")
+def i2_totals(t):
+    section = F.when(F.col("person_id").isNotNull(), "tree").when(F.col("level") == "weak", "hints").otherwise("candidates")
+    each = levels(t).select("id", "level", section.alias("section"))
+    by = t["findings"].select("id", T.norm("person").alias("k")).join(each.hint("merge"), "id").groupBy("section", "level", "k").agg(F.count("*").alias("n"))
+    return by.groupBy("section", "level").agg(F.sum("n").alias("findings"), F.count("*").alias("people"))
+
+
+NEW_PEOPLE = f"""{LEVELS}, np AS (SELECT {norm('f.person')} AS k, min_by(f.person, f.id) AS name, min(father) AS father, min(mother) AS mother, min(CASE WHEN {event_class('f.kind')} = 'birth' THEN {year_of('f.fecha')} END) AS birth_year, min_by(f.place, f.id) FILTER (f.place <> '') AS place, count(DISTINCT concat_ws('|', f.kind, f.fecha, f.place, f.url, f.quote)) AS n_evidence
+ FROM lv JOIN findings f ON f.id = lv.id JOIN cp ON cp.id = lv.id WHERE pid IS NULL AND level = 'confirmed' AND f.quote <> '' AND NOT f.homonym GROUP BY 1 HAVING count(DISTINCT concat(father, '||', mother)) = 1)"""
+
+
+def new_people(t, lv):
+    """New people, of the levels lv, whom verified findings give two confirmed parents; a name with two couples is never guessed."""
+    sure = lv.where("person_id IS NULL AND level = 'confirmed'").select("id", "father", "mother")
+    f = t["findings"].where("quote <> '' AND NOT homonym").join(sure.hint("merge"), "id")
+    born = F.when(T.event_class("kind") == "birth", T.year_of("fecha"))
+    placed = F.when(F.col("place") != "", F.struct("id", "place"))
+    g = f.groupBy(T.norm("person").alias("k")).agg(F.min_by("person", "id").alias("name"), F.min("father").alias("father"), F.min("mother").alias("mother"), F.min(born).alias("birth_year"), F.min(placed)["place"].alias("place"), F.count_distinct(F.concat_ws("|", "kind", "fecha", "place", "url", "quote")).alias("n_evidence"), F.count_distinct(F.concat_ws("||", "father", "mother")).alias("couples"))
+    return g.where("couples = 1").drop("couples").withColumn("id", F.concat(F.lit("new:"), F.col("k")))
+
+
+@query("i13_new_people", f"{NEW_PEOPLE} SELECT concat('new:', k) AS id, k, name, father, mother, birth_year, place, n_evidence FROM np")
+def i13(t):
+    return new_people(t, levels(t)).select("id", "k", "name", "father", "mother", "birth_year", "place", "n_evidence")
+
+
+@query("i13_parents_children", f"{NEW_PEOPLE} SELECT parent AS id, count(*) AS n_new, string_agg(k, ',' ORDER BY k) AS new_children FROM (SELECT father AS parent, k FROM np UNION ALL SELECT mother, k FROM np) GROUP BY 1")
+def i13_children(t):
+    """The children that new people add to the cards of their parents."""
+    each = new_people(t, levels(t)).select("k", F.explode(F.array("father", "mother")).alias("id"))
+    return each.groupBy("id").agg(F.count("*").alias("n_new"), F.array_join(F.array_sort(F.collect_list("k")), ",").alias("new_children"))
+
+
+@query("i13_candidates_left", f"{NEW_PEOPLE} SELECT DISTINCT {norm('person')} AS k FROM lv WHERE pid IS NULL AND level <> 'weak' AND {norm('person')} NOT IN (SELECT k FROM np)")
+def i13_left(t):
+    """Candidates without those who became people."""
+    lv = levels(t)
+    some = lv.where("person_id IS NULL AND level <> 'weak'").select("id")
+    return t["findings"].select("id", T.norm("person").alias("k")).join(some.hint("merge"), "id").select("k").distinct().join(new_people(t, lv).select("k").hint("merge"), "k", "left_anti")
+
+
+@query("i10_kin_expansion", f"""WITH RECURSIVE k(g, s) AS (SELECT {given_key('given')}, {norm('surname1')} FROM people WHERE place = 'NATION_3' UNION
+ SELECT unnest([{given_key('given')}, {given_key('father_given')}, {given_key('mother_given')}]), unnest([{norm('surname1')}, {norm('father_surname')}, {norm('mother_surname')}]) FROM k JOIN acts a ON a.kind = 'bautismo' AND {given_key('father_given')} = k.g AND {norm('father_surname')} = k.s WHERE k.g <> '')
+SELECT g, s FROM k WHERE g <> ''""")
+def i10(t):
+    from kindred.operators.lineage import kin_expansion
+
+    return kin_expansion(t["people"].where("place = 'NATION_3'"), t["acts"])
 
 
 @query("i3_generations", "WITH RECURSIVE g(seq, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT p.seq, depth + 1 FROM g JOIN people p ON p.seq = 2 * g.seq OR p.seq = 2 * g.seq + 1) SELECT seq, min(depth) AS depth FROM g GROUP BY seq")
@@ -293,10 +392,10 @@ def d26(t):
     return q.join(d.hint("merge"), "tok", "left").select("tok", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) < 400).alias("widen"))
 
 
-@query("e13_best_level", CLASSIFY.replace("SELECT id, CASE WHEN pid IS NULL", ", lv AS (SELECT id, CASE WHEN pid IS NULL").rstrip() + f"""), pt AS MATERIALIZED (SELECT id AS pid, {tokens("concat(given, ' ', surname1)")} AS t FROM people ), ft AS MATERIALIZED (SELECT f.person, {tokens('f.person')} AS t, max(CASE level WHEN 'confirmed' THEN 2 WHEN 'strong' THEN 1 ELSE 0 END) AS lv FROM findings f JOIN lv USING (id) GROUP BY ALL)
-SELECT pid, max(lv) AS level FROM pt JOIN ft ON list_has_all(ft.t, pt.t) WHERE len(pt.t) > 0 GROUP BY pid""")
+@query("e13_best_level", f"""{LEVELS}, pt AS MATERIALIZED (SELECT id AS pid, {tokens("concat(given, ' ', surname1)")} AS t FROM people ), ft AS MATERIALIZED (SELECT person, {tokens('person')} AS t, max(CASE level WHEN 'confirmed' THEN 2 WHEN 'strong' THEN 1 ELSE 0 END) AS lv FROM lv GROUP BY ALL)
+SELECT pt.pid, max(ft.lv) AS level FROM pt JOIN ft ON list_has_all(ft.t, pt.t) WHERE len(pt.t) > 0 GROUP BY pt.pid""")
 def e13(t):
-    lv = E.classify(t["findings"], t["people"], resolve(finding_names(t), t["people"])).select("id", F.when(F.col("level") == "confirmed", 2).when(F.col("level") == "strong", 1).otherwise(0).alias("lv"))
+    lv = levels(t).select("id", F.when(F.col("level") == "confirmed", 2).when(F.col("level") == "strong", 1).otherwise(0).alias("lv"))
     best = t["findings"].select("id", "person").join(lv.hint("merge"), "id").groupBy("person").agg(F.max("lv").alias("lv"))
     who = t["people"].select(F.col("id").alias("pid"), F.concat_ws(" ", "given", "surname1").alias("who"))
     pairs = token_pairs(who, "pid", "who", best.select("person", F.col("person").alias("said")), "person", "said")

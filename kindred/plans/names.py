@@ -72,7 +72,11 @@ def names_with_role(t):
     return t["findings"].select("id", F.explode(T.names_with_role("names", "padre", "padres")).alias("name")).groupBy("name").agg(F.count_distinct("id").alias("n"))
 
 
-@query("b11_parent_phrases")
+CLAUSE = f"""(SELECT id, regexp_replace(c, '(?i)^.*?\\sde\\s+', '') AS c FROM (SELECT id, regexp_extract(concat('Bautismo de un hijo legítimo de ', regexp_replace(person, '\\s+', ' ', 'g'), ' y de ', regexp_replace(coalesce(names[1], 'Petra Dehesa'), '\\s*\\(.*', ''), ', vecinos'), '(?i)\\bhij(?:os|as|o|a)\\b([^,.;:()\\n]*)', 1) AS c FROM findings ))"""
+
+
+@query("b11_parent_phrases", f"""SELECT id, father, mother FROM (SELECT id, trim(regexp_extract(c, '(?i)^(.*?)\\s+y\\s+', 1)) AS father, trim(array_to_string(string_split(regexp_replace(regexp_extract(c, '(?i)^.*?\\s+y\\s+(.*)$', 1), '(?i)^de\\s+', ''), ' ')[1:6], ' ')) AS mother FROM {CLAUSE})
+WHERE len(father) >= 3 AND len(mother) >= 3 AND NOT {BAD.replace('name', 'father')} AND NOT {BAD.replace('name', 'mother')}""")
 def parent_phrases(t):
     quote = t["findings"].select("id", F.concat(F.lit("Bautismo de un hijo legítimo de "), F.regexp_replace("person", r"\s+", " "), F.lit(" y de "), F.regexp_replace(F.coalesce(F.get("names", 0), F.lit("Petra Dehesa")), r"\s*\(.*", ""), F.lit(", vecinos")).alias("q"))
     return quote.select("id", F.explode(T.parent_pairs("q")).alias("p")).select("id", "p.father", "p.mother")
@@ -240,19 +244,17 @@ def same_surname_pairs(t):
 
 @query("c7_same_place", f"SELECT DISTINCT a.parish, p.place FROM acts a JOIN people p ON {norm('p.place')} <> '' AND {norm('a.parish')} <> '' AND (contains({norm('a.parish')}, {norm('p.place')}) OR contains({norm('p.place')}, {norm('a.parish')}))")
 def same_place_pairs(t):
-    """Of distinct places: the place's last word must be a word of the parish or the other way round."""
-    words = lambda df, c: df.select(c).distinct().where(T.norm(c) != "").withColumn("w", F.explode(F.split(T.norm(c), " ")))
-    a = words(t["acts"], "parish").withColumn("w", F.substring("w", 1, 7))
-    b = words(t["people"], "place").withColumn("w", F.substring("w", 1, 7))
-    return a.join(b.hint("merge"), "w").where(T.same_place("parish", "place")).select("parish", "place").distinct()
+    from kindred.operators.evidence import places_met
+
+    return places_met(t["acts"].select("parish"), "parish", t["people"].select("place"), "place")
 
 
-@query("c8_names_match", f"""WITH x AS (SELECT id, person, {tokens('person')} AS ta FROM findings WHERE kind = 'matrimonio'), y AS (SELECT id AS pid, name, {tokens('name')} AS tb FROM people )
+@query("c8_names_match", f"""WITH x AS (SELECT id, person, {tokens('person')} AS ta FROM findings ), y AS (SELECT id AS pid, name, {tokens('name')} AS tb FROM people )
 SELECT x.id, pid FROM x JOIN y ON {norm('person')} = {norm('name')} OR (len(ta) > 0 AND len(tb) > 0 AND (list_has_all(tb, ta) OR list_has_all(ta, tb)))""")
 def names_match_pairs(t):
     from kindred.operators.matching import subset_pairs
 
-    a = t["findings"].where("kind = 'matrimonio'").select("id", "person")
+    a = t["findings"].select("id", "person")
     return subset_pairs(a, "id", "person", t["people"].select(F.col("id").alias("pid"), "name"), "pid", "name", both_ways=True)
 
 
@@ -278,13 +280,13 @@ def usable_surnames(t):
     return t["people"].where(T.usable_surname("surname1")).groupBy(F.col("surname1").alias("surname")).agg(F.count("*").alias("n"))
 
 
-@query("c15_acts_of_person", f"""WITH p AS MATERIALIZED (SELECT id AS person_id, {given_key('given')} AS k, surname1 AS s, birth_year AS y FROM people WHERE birth_year IS NOT NULL), a AS MATERIALIZED (SELECT id, year, {given_key('given')} AS k, surname1 AS s, {given_key('father_given')} AS fk, father_surname AS fs FROM acts WHERE kind = 'bautismo'),
+@query("c15_acts_of_person", f"""WITH p AS MATERIALIZED (SELECT id AS person_id, {given_key('given')} AS k, surname1 AS s, birth_year AS y FROM people WHERE birth_year IS NOT NULL), a AS MATERIALIZED (SELECT id, year, {given_key('given')} AS k, surname1 AS s, {given_key('father_given')} AS fk, father_surname AS fs FROM acts ),
 m AS (SELECT person_id, id, 0 AS r FROM p JOIN a ON a.k = p.k AND p.k <> '' AND a.year BETWEEN y - 20 AND y + 50 AND {same_surname('a.s', 'p.s')} UNION ALL SELECT person_id, id, 1 FROM p JOIN a ON a.fk = p.k AND p.k <> '' AND a.year BETWEEN y - 20 AND y + 50 AND {same_surname('a.fs', 'p.s')})
 SELECT person_id, id, CASE WHEN min(r) = 0 THEN 'self' ELSE 'child' END AS role FROM m GROUP BY person_id, id""")
 def acts_of_person(t):
     from kindred.operators.matching import acts_naming
 
-    return acts_naming(t["people"], t["acts"].where("kind = 'bautismo'"), -20, 50)
+    return acts_naming(t["people"], t["acts"], -20, 50)
 
 
 @query("c16_branch_members", f"SELECT id FROM people WHERE province IN ('ASIA', 'EUROPE') OR starts_with({norm('place')}, 'nation_1')")
@@ -292,11 +294,17 @@ def branch_members(t):
     return t["people"].where(F.col("province").isin("ASIA", "EUROPE") | F.startswith(T.norm("place"), F.lit("nation_1"))).select("id")
 
 
-@query("c17_page_kinds")
+#: Elements of a page whose text is left out.
+LEFT_OUT = ["script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe"]
+OUT = "(?is)" + "|".join(f"<{e}\\b.*?</{e}>" for e in LEFT_OUT)
+
+
+@query("c17_page_kinds", f"""SELECT page_id, CASE WHEN starts_with(html, '%PDF-') THEN 'pdf' WHEN regexp_matches(lower(substr(html, 1, 200)), '<!doctype html|<html') THEN 'html' ELSE 'text' END AS kind, len(t) AS chars, substr(sha256(t), 1, 16) AS hash
+FROM (SELECT page_id, html, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '{OUT}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 24000) AS t FROM pages)""")
 def page_kinds(t):
     """Content kind, and the text of a page cut to 24,000 characters."""
     head = F.lower(F.substring("html", 1, 200))
-    body = F.regexp_replace("html", r"(?is)<(script|style|nav|footer|header|aside|form|noscript|iframe)\b.*?</\1>", " ")
+    body = F.regexp_replace("html", OUT, " ")
     text = F.substring(F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), r"\s+", " ")), 1, 24000)
     kind = F.when(F.substring("html", 1, 5) == "%PDF-", "pdf").when(head.rlike("<!doctype html|<html"), "html").otherwise("text")
     return t["pages"].select("page_id", kind.alias("kind"), F.length(text).alias("chars"), T.short_hash(text).alias("hash"))

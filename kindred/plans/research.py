@@ -34,14 +34,19 @@ def c10(t):
 
 
 def same_person(t):
-    """Acts and people that are strictly the same person: given name by old spelling (the join's key), surname,
-    then the second surname if both have one, else the place, else ten years, else a compound surname."""
+    """Acts and people that are strictly the same person: given name by old spelling and surname, then the second
+    surname if both have one, else the place, else ten years, else a compound surname. Which surnames are the
+    same is found among the distinct ones, by four-letter pieces; people and acts then join on equality."""
     p = t["people"].select(F.col("id").alias("pid"), T.given_key("given").alias("k"), F.col("surname1").alias("ps"), F.col("surname2").alias("ps2"), T.norm("place").alias("pp"), F.col("birth_year").alias("py")).where("k <> ''")
     a = t["acts"].select("id", T.given_key("given").alias("k"), F.col("surname1").alias("as_"), F.col("surname2").alias("as2"), T.norm("municipality").alias("ap"), F.col("year").alias("ay"))
     both = (T.norm("as2") != "") & (T.norm("ps2") != "")
     rule = F.when(both, T.same_surname("as2", "ps2")).when((F.col("pp") != "") & (F.col("ap") == F.col("pp")), True).when(F.col("ay").isNotNull() & F.col("py").isNotNull(), F.abs(F.col("ay") - F.col("py")) <= 10).otherwise(F.contains("ps", F.lit(" ")))
-    # a surname that is the same shares its first four letters with a piece of the other's; equal starts are by far the most
-    return p.join(a.hint("merge"), "k").where(T.same_surname("as_", "ps") & rule)
+    plain = lambda c: F.replace(T.norm(c), F.lit("-"), F.lit(" "))
+    pieces = lambda c: F.explode(F.array_distinct(F.when(F.length(c) >= 4, F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4)))).otherwise(F.array(c)))).alias("g")
+    x = p.select("ps", plain("ps").alias("x")).distinct().where("x <> ''").select("ps", pieces(F.col("x")))
+    y = a.select("as_", plain("as_").alias("y")).distinct().where("y <> ''").select("as_", pieces(F.col("y")))
+    same = x.join(y.hint("merge"), "g").select("ps", "as_").distinct().where(T.same_surname("as_", "ps"))
+    return p.join(same.hint("merge"), "ps").join(a.hint("merge"), ["k", "as_"]).where(rule)
 
 
 @query("d9_known_person", f"{SAME} SELECT id, pid FROM (SELECT a.id, pid, row_number() OVER (PARTITION BY a.id ORDER BY pid) AS r FROM p JOIN a ON a.k = p.k AND p.k <> '' AND {STRICT} AND abs(a.y - p.y) <= 25) WHERE r = 1")
@@ -62,11 +67,22 @@ def d8(t):
 
 
 @query("d13_parent_edges", f"WITH pq AS (SELECT id AS qid, father AS name, birth_year - 28 AS year FROM people WHERE father <> ''), {resolved('pq')} SELECT qid AS child, coalesce(person_id, concat('new:', {norm('name')})) AS parent, person_id IS NULL AS placeholder FROM pq JOIN rres USING (qid)")
+def d13_fathers(t):
+    """Edges to fathers alone; one who is not found for sure is a placeholder named by its key."""
+    return d13(t).where("role = 'f'").select(F.col("card").alias("child"), F.col("other").alias("parent"), "placeholder")
+
+
+EDGES = " UNION ALL ".join(f"SELECT concat(id, ':{r}') AS qid, id AS card, '{r}' AS role, {c} AS name, birth_year{d} AS year FROM people WHERE {c} <> ''" for r, c, d in (("f", "father", " - 28"), ("m", "mother", " - 28"), ("s", "spouse", "")))
+
+
+@query("d13_kin_edges", f"WITH pq AS ({EDGES}), {resolved('pq')} SELECT card, role, coalesce(person_id, concat('new:', {norm('name')})) AS other, person_id IS NULL AS placeholder, tier = 2 AS loose, person_id IS NULL AND EXISTS (SELECT 1 FROM rrs WHERE rrs.qid = pq.qid) AS ambiguous FROM pq JOIN rres USING (qid)")
 def d13(t):
-    """Edges to fathers; one who is not found for sure is a placeholder named by its key."""
-    q = t["people"].where("father <> ''").select(F.col("id").alias("qid"), F.col("father").alias("name"), (F.col("birth_year") - 28).alias("year"))
-    r = resolve(q, t["people"])
-    return q.join(r.hint("merge"), "qid").select(F.col("qid").alias("child"), F.coalesce("person_id", F.concat(F.lit("new:"), T.norm("name"))).alias("parent"), F.col("person_id").isNull().alias("placeholder"))
+    """Edges to fathers, mothers and spouses, with how they were found: exactly, loosely (tier 2), or not for sure
+    (a placeholder named by its key; ambiguous if several cards fit)."""
+    part = lambda r, c, d: F.struct(F.lit(r).alias("role"), F.col(c).alias("name"), (F.col("birth_year") - d).alias("year"))
+    q = t["people"].select(F.col("id").alias("card"), F.explode(F.array(part("f", "father", 28), part("m", "mother", 28), part("s", "spouse", 0))).alias("x")).select("card", "x.*").where("name <> ''").withColumn("qid", F.concat_ws(":", "card", "role"))
+    r = resolve(q.select("qid", "name", "year"), t["people"])
+    return q.join(r.hint("merge"), "qid").select("card", "role", F.coalesce("person_id", F.concat(F.lit("new:"), T.norm("name"))).alias("other"), F.col("person_id").isNull().alias("placeholder"), (F.col("tier") == 2).alias("loose"), (F.col("person_id").isNull() & (F.col("n") > 0)).alias("ambiguous"))
 
 
 FQ = f"fq AS (SELECT id AS qid, person AS name, CASE WHEN {event_class('kind')} = 'birth' THEN {year_of('fecha')} END AS year FROM findings )"

@@ -136,7 +136,7 @@ def e17(t):
     return t["documents"].groupBy(health.alias("health")).agg(F.count("*").alias("n"))
 
 
-@query("e19_catalogue_books")
+@query("e19_catalogue_books", """SELECT page_id, CASE WHEN starts_with(link, '/') THEN 'open' WHEN starts_with(link, '#') THEN 'here' ELSE 'away' END AS state, count(*) AS links, count(DISTINCT link) AS books FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages) GROUP BY ALL""")
 def e19(t):
     """Links of listing pages with a range of years and a state, by page."""
     links = t["pages"].select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("link"))
@@ -144,7 +144,11 @@ def e19(t):
     return links.groupBy("page_id", state.alias("state")).agg(F.count("*").alias("links"), F.count_distinct("link").alias("books"))
 
 
-@query("e20_result_rows")
+LINK = '<a href="([^"]*)">([^<]*)</a>'
+
+
+@query("e20_result_rows", f"""WITH x AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS site, regexp_extract_all(html, '{LINK}', 1) AS l, regexp_extract_all(html, '{LINK}', 2) AS t FROM pages)
+SELECT page_id, concat(site, l[i]) AS link, CAST(min(i) - 1 AS INT) AS pos, min_by(t[i], i) AS title FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM x) GROUP BY page_id, concat(site, l[i])""")
 def e20(t):
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(1)).alias("link"), F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(2)).alias("title"))
     rows = t["pages"].select("page_id", F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("site"), F.posexplode(pairs).alias("pos", "x")).select("page_id", "pos", F.concat("site", "x.link").alias("link"), "x.title")

@@ -47,7 +47,7 @@ def people(duck: bool) -> str:
  CASE WHEN m % 11 <> 0 THEN n_name ELSE '' END AS place, CASE WHEN m % 13 <> 0 THEN r_name ELSE '' END AS province,
  CASE WHEN 2 * m <= total THEN {n('2 * m')} ELSE '' END AS father, CASE WHEN 2 * m + 1 <= total THEN {n('2 * m + 1')} ELSE '' END AS mother,
  CASE WHEN m > 1 THEN {n('(CASE WHEN m % 2 = 0 THEN m + 1 ELSE m - 1 END)')} ELSE '' END AS spouse, CASE WHEN m > 1 THEN {n('(m - m % 2) // 2' if duck else 'CAST((m - m % 2) / 2 AS BIGINT)')} ELSE '' END AS child,
- CASE WHEN m % 3 = 0 THEN 1 + m % 2 ELSE 0 END AS n_evidence, CASE WHEN m % 5 = 0 THEN concat('nacido hacia ', CAST({_year('m')} + 1 AS VARCHAR(10))) ELSE '' END AS notes
+ CASE WHEN m % 8 IN (0, 1, 3, 6) THEN 1 + m % 2 ELSE 0 END AS n_evidence, CASE WHEN m % 5 = 0 THEN concat('nacido hacia ', CAST({_year('m')} + 1 AS VARCHAR(10))) ELSE '' END AS notes
  FROM (SELECT c_custkey + 1 AS m, c_nationkey, (SELECT count(*) FROM {{customer}}) AS total FROM {{customer}}) JOIN {{nation}} ON n_nationkey = c_nationkey JOIN {{region}} ON r_regionkey = n_regionkey"""
 
 
@@ -60,13 +60,13 @@ def acts(duck: bool) -> str:
  CASE WHEN kind = 'bautismo' AND 2 * m <= total THEN {g('2 * m')} ELSE '' END AS father_given, CASE WHEN kind = 'bautismo' AND 2 * m <= total THEN {s('2 * m')} ELSE '' END AS father_surname,
  CASE WHEN kind = 'bautismo' AND 2 * m + 1 <= total AND k % 10 <> 3 THEN {g('2 * m + 1')} ELSE '' END AS mother_given, CASE WHEN kind = 'bautismo' AND 2 * m + 1 <= total AND k % 10 <> 3 THEN {s('2 * m + 1')} ELSE '' END AS mother_surname,
  CASE WHEN kind = 'matrimonio' THEN {g('2 * m + 1')} ELSE '' END AS spouse_given, CASE WHEN kind = 'matrimonio' THEN {s('2 * m + 1')} ELSE '' END AS spouse_surname,
- n_name AS municipality, CASE WHEN k % 6 = 0 THEN '' ELSE concat('San ', CAST(k % 4 AS VARCHAR(2)), ' de ', n_name) END AS parish, r_name AS province, concat('F', CAST(k % 37 AS VARCHAR(4))) AS fonds, CASE WHEN k % 8 = 0 THEN '' ELSE concat('S/', CAST(k % 101 AS VARCHAR(4))) END AS shelfmark, CASE WHEN k % 3 = 0 THEN '' ELSE CAST(k % 300 AS VARCHAR(4)) END AS folio
+ n_name AS municipality, CASE WHEN k % 6 = 0 THEN '' ELSE concat('San ', CAST(k % 4 AS VARCHAR(2)), ' de ', n_name) END AS parish, r_name AS province, concat('F', CAST(k % 37 AS VARCHAR(4))) AS fonds, CASE WHEN k % 8 = 0 THEN '' ELSE concat('S/', CAST(k % 101 AS VARCHAR(4))) END AS shelfmark, CASE WHEN k % 3 = 0 THEN '' ELSE CAST(k % 300 AS VARCHAR(4)) END AS folio, {s('4 * m + 1')} AS father_surname2, {s('4 * m + 3')} AS mother_surname2
  FROM (SELECT o_orderkey AS k, o_custkey + 1 AS m, CASE WHEN o_orderkey % 3 = 0 THEN 'bautismo' WHEN o_orderkey % 3 = 1 AND o_custkey % 6 <> 0 THEN 'matrimonio' ELSE 'defuncion' END AS kind, {_year('(o_custkey + 1)')} + CAST(o_orderkey % 8 AS INT) + CASE WHEN o_orderkey % 3 = 2 THEN 60 ELSE 0 END AS yr, c_nationkey, (SELECT count(*) FROM {{customer}}) AS total FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey)
  JOIN {{nation}} ON n_nationkey = c_nationkey JOIN {{region}} ON r_regionkey = n_regionkey"""
 
 
 def findings(duck: bool) -> str:
-    names = _list(["CASE WHEN father_given <> '' THEN concat(father_given, ' ', father_surname, ' (padre)') END", "CASE WHEN mother_given <> '' THEN concat(mother_given, ' ', mother_surname, CASE WHEN id % 4 = 1 THEN ' (es su madre)' ELSE ' (Madre)' END) END",
+    names = _list(["CASE WHEN father_given <> '' THEN concat(father_given, ' ', father_surname, CASE WHEN id % 2 = 0 THEN concat(' ', father_surname2) ELSE '' END, ' (padre)') END", "CASE WHEN mother_given <> '' THEN concat(mother_given, ' ', mother_surname, CASE WHEN id % 2 = 0 THEN concat(' ', mother_surname2) ELSE '' END, CASE WHEN id % 4 = 1 THEN ' (es su madre)' ELSE ' (Madre)' END) END",
                    "CASE WHEN id % 7 = 0 AND father_given <> '' THEN concat(surname1, ' Otro (padre)') END", "CASE WHEN id % 5 = 0 THEN concat(given, ' ', municipality, ' (padrino)') END", "CASE WHEN id % 6 = 1 THEN 'no consta (testigos)' END", "CASE WHEN id % 11 = 4 THEN 'Petra Dehesa (testigos)' END", "CASE WHEN spouse_given <> '' THEN concat(spouse_given, ' ', spouse_surname, ' (conyuge)') END"], duck)
     return f"""SELECT id, concat('F', CAST(id AS VARCHAR(20))) AS finding, CASE WHEN id % 4 = 3 THEN concat(given, ' ', surname1) ELSE concat(given, ' ', surname1, CASE WHEN surname2 <> '' THEN concat(' ', surname2) ELSE '' END) END AS person,
  CASE WHEN kind = 'bautismo' AND id % 2 = 0 THEN 'Nacimiento' ELSE kind END AS kind, CASE WHEN id % 13 = 5 THEN CAST(year - 40 AS VARCHAR(10)) ELSE fecha END AS fecha, CASE WHEN id % 19 = 3 THEN '' ELSE municipality END AS place, {names} AS names,
