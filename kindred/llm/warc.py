@@ -139,7 +139,7 @@ def write(pages: DataFrame, out_dir: str | None = None, file_bytes: int = FILE_B
 
 
 def records(uri: str, step: int = 1 << 16) -> Iterator[bytes]:
-    """The records of a file, read and unpacked piece by piece."""
+    """The records of a file, read and unpacked piece by piece; a file that ends inside one raises."""
     at, path = store(uri)
     with at.open_input_stream(path, compression=None) as f:
         z, got = zlib.decompressobj(31), []
@@ -150,6 +150,8 @@ def records(uri: str, step: int = 1 << 16) -> Iterator[bytes]:
                 if z.eof:
                     yield b"".join(got)
                     z, got = zlib.decompressobj(31), []
+        if got:
+            raise ValueError(f"cut off within a record: {uri}")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:

@@ -42,3 +42,15 @@ def test_round_trip(spark, tmp_path):
 
 def test_empty(spark):
     assert W.written_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_cut_archives_raise(tmp_path):
+    import pytest
+
+    whole = gzip.compress(b"one") + gzip.compress(b"two" * 50)
+    (tmp_path / "a").write_bytes(whole)
+    assert list(W.records(str(tmp_path / "a"))) == [b"one", b"two" * 50]
+    for n in (len(whole) - 1, len(whole) - 12, len(gzip.compress(b"one")) + 4):
+        (tmp_path / "b").write_bytes(whole[:n])
+        with pytest.raises(ValueError, match="cut off"):
+            list(W.records(str(tmp_path / "b")))
