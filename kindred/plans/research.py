@@ -155,7 +155,8 @@ def i14(t):
     """Siblings are searched once per couple, by the first card; confirmed cards without parents have nothing to search."""
     from pyspark.sql import Window
 
-    p = t["people"].withColumn("couple", F.concat_ws("::", F.least("father", "mother"), F.greatest("father", "mother"))).withColumn("sure", F.col("n_evidence") > 0)
-    p = p.withColumn("r", F.row_number().over(Window.partitionBy("couple", "sure").orderBy("seq")))
-    both = F.col("sure") & (F.col("father") != "") & (F.col("mother") != "")
-    return p.where(~(both & (F.col("r") > 1))).select("id", F.when(both, "hermanos").when(F.col("sure"), "none").otherwise("persona").alias("kind"))
+    p = t["people"].withColumn("sure", F.col("n_evidence") > 0)
+    both = F.coalesce(F.col("sure") & (F.col("father") != "") & (F.col("mother") != ""), F.lit(False))
+    first = Window.partitionBy(F.least("father", "mother"), F.greatest("father", "mother")).orderBy("seq")
+    couples_first = p.where(both).withColumn("r", F.row_number().over(first)).where("r = 1").select("id", F.lit("hermanos").alias("kind"))
+    return couples_first.unionByName(p.where(~both).select("id", F.when(F.col("sure"), "none").otherwise("persona").alias("kind")))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
+from kindred.operators.tables import written
 
 
 from .registry import event_class, norm, query, strings, tokens, year_of
@@ -36,8 +37,22 @@ def a8(t):
 
 @query("a10_version_retention", "SELECT event_type, event_id, r <= 30 AS keep FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)")
 def a10(t):
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t["events"].select("event_type", "event_id", (F.row_number().over(w) <= 30).alias("keep"))
+    """The newest 30 of a type: the newest of 64 parts of it, then of those; ids are unique."""
+    newest = [F.desc("ts"), F.desc("event_id")]
+    e = t["events"].select("event_type", "event_id", "ts").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(64)))
+    some = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type", "part").orderBy(*newest))).where("r <= 30")
+    top = some.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(*newest))).where("r <= 30").select("event_id", F.lit(True).alias("keep"))
+    return e.join(top.hint("merge"), "event_id", "left").select("event_type", "event_id", F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
+def running(df, key, order, value, name):
+    """df with the running sum `name` of value by key: ranges of the order are summed apart and then shifted by the
+    sums of the ranges before, so that no task gets all rows of a key. Written, as ranges are drawn by sampling."""
+    part = written(df.repartitionByRange(key, order).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = part.groupBy(key, "part").agg(F.sum(value).alias("n"))
+    before = sums.select(key, "part", F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy(key, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return part.join(before.hint("merge"), [key, "part"]).withColumn(name, F.sum(value).over(w) + F.col("before")).drop("part", "before")
 
 
 @query("a11_source_table", "SELECT url, min(id) AS first_use, count(*) AS n FROM findings GROUP BY url")
@@ -157,8 +172,7 @@ def e20(t):
 
 @query("e21_packed_rows", "SELECT municipality, CAST((r - 1) // 12 AS BIGINT) AS pack, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY r) AS ids FROM (SELECT id, municipality, row_number() OVER (PARTITION BY municipality ORDER BY id) AS r FROM acts ) GROUP BY ALL")
 def e21(t):
-    w = Window.partitionBy("municipality").orderBy("id")
-    rows = t["acts"].select("id", "municipality", F.row_number().over(w).alias("r"))
+    rows = running(t["acts"].select("id", "municipality"), "municipality", "id", F.lit(1), "r")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",")
     return rows.groupBy("municipality", F.floor((F.col("r") - 1) / 12).alias("pack")).agg(F.count("*").alias("n"), ids.alias("ids"))
 
@@ -182,18 +196,13 @@ def f3(t):
     shifted by the sizes of the ranges before, so that no task gets all rows."""
     p = t["people"].select("seq", F.when(F.col("seq") % 3 == 0, F.col("seq")).alias("id"))
     top = p.agg(F.max("id").alias("top")).first().top  # one number, the high-water mark
-    part = p.where("id IS NULL").repartitionByRange("seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id())
-    part = part.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("seq")))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    new = part.join(F.broadcast(before), "part").select("seq", (F.lit(top) + F.col("before") + F.col("r")).alias("id"))
+    new = running(p.where("id IS NULL").select("seq", F.lit(0).alias("all")), "all", "seq", F.lit(1), "r").select("seq", (F.lit(top) + F.col("r")).alias("id"))
     return p.where("id IS NOT NULL").unionByName(new)
 
 
 @query("f4_budget_stop", f"WITH {PRICED}, r AS (SELECT model, seq, sum(pt * 1.0 + ct * 3.0) OVER (PARTITION BY model ORDER BY seq ROWS UNBOUNDED PRECEDING) AS spent FROM priced) SELECT model, seq, spent >= 20000 AS cut FROM r")
 def f4(t):
-    w = Window.partitionBy("model").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return priced(t).select("model", "seq", (F.sum("cost").over(w) >= 20000).alias("cut"))
+    return running(priced(t), "model", "seq", F.col("cost"), "spent").select("model", "seq", (F.col("spent") >= 20000).alias("cut"))
 
 
 def islands(t):
