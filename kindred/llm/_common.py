@@ -65,6 +65,13 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark deletes the shuffle files of plans that nothing refers to any
+    more; otherwise they stay on the executors' disks until the driver's memory happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Keep Arrow batches of texts at a few MB in this session's Python stages, in rows and in bytes. Plans run
     after the function that made them returned, so the setting stays; it changes no result."""
