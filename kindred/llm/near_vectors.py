@@ -22,9 +22,10 @@ from ._common import connected_components, stored
 SHARD_ROWS = 8192
 #: Links of a node on the upper layers and (twice) on the lowest, and the narrowest beams: to build, from a
 #: node itself, from the top.
-LINKS, BEAM_BUILD, BEAM_OWN, BEAM_QUERY = 16, 40, 16, 32
+LINKS, BEAM_BUILD, BEAM_OWN, BEAM_QUERY = 16, 64, 48, 48
 BATCH = 256
-AUDIT, LEAST_RECALL = 64, 0.995
+#: Leaders that an audit samples at first and at most, the true pairs that it wants to see, and the recall.
+AUDIT, AUDIT_MOST, AUDIT_PAIRS, LEAST_RECALL = 64, 1024, 200, 0.995
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -185,10 +186,18 @@ def in_range(g: Graph, q: np.ndarray, least: float, start: np.ndarray | None, ef
 
 
 def audited(g: Graph, q: np.ndarray, least: float, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """in_range(), its beams doubled until a sample of the queries has the pairs of brute force."""
+    """in_range(), its beams doubled until a sample of the queries has the pairs of brute force, pairs of a node
+    with itself apart. The sample grows, to a bound, until it has pairs enough to tell."""
     ef = BEAM_QUERY if start is None else BEAM_OWN
-    sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    true = q[sample] @ g.x[: g.n].T >= least
+    size = AUDIT
+    while True:
+        sample = np.unique(np.linspace(0, len(q) - 1, min(size, len(q))).astype(int))
+        true = q[sample] @ g.x[: g.n].T >= least
+        if start is not None:
+            true[np.arange(len(sample)), start[sample]] = False  # a beam begins at its own node
+        if true.sum() >= AUDIT_PAIRS or size >= min(AUDIT_MOST, len(q)):
+            break
+        size *= 4
     while True:
         a, b = in_range(g, q, least, start, ef)
         met = np.zeros(true.shape, bool)
