@@ -48,6 +48,16 @@ def stored(df: DataFrame, name: str, state: Observation | None = None) -> DataFr
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As stored(), but in n buckets of key: joins on key with tables repartitioned into n move no row of it."""
+    path = new_dir(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    out = df.sparkSession.table(table)
+    out._kindred_path, out._kindred_table = path, table
+    return out
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """name, made longer until no column of df has it."""
     have = {c.lower() for c in df.columns}
@@ -57,8 +67,10 @@ def new_name(df: DataFrame, name: str) -> str:
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Delete a table that stored() wrote and that no later plan reads."""
-    path = getattr(df, "_kindred_path", None)
+    """Delete a table that stored() or bucketed() wrote and that no later plan reads."""
+    path, table = getattr(df, "_kindred_path", None), getattr(df, "_kindred_table", None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
