@@ -74,7 +74,8 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     least_bytes, a row with a smaller id has too. Payloads are told apart by SHA-256 and never move."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keys = stored(pages.where(F.col("page_id").isNotNull() & (F.octet_length(html) >= least_bytes)).select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(html, 256).alias("digest")), "digests")
-    first = keys.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join has plain inputs, which adaptive execution can split where a payload is hot
+    first = stored(keys.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("f"), F.count("*").alias("n")).where("n > 1"), "first")
     again = keys.select("page_id", "digest").join(first.hint("merge"), "digest").where(F.col("page_id") != F.col("f.page_id"))
     return again.select("page_id", "digest", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url"))
 
