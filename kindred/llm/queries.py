@@ -120,9 +120,30 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(_read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w[i:i + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, w, array_to_string(w, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, w HAVING count(*) >= 100),
+b AS (SELECT lang, phrase, max(a) AS more FROM (SELECT lang, a, array_to_string(unnest([w[:len(w) - 1], w[2:]]), ' ') AS phrase FROM f WHERE len(w) > 2) GROUP BY ALL),
+c AS (SELECT f.lang, f.phrase, f.a, f.w, unnest(range(1, len(f.w))) AS k FROM f LEFT JOIN b ON b.lang = f.lang AND b.phrase = f.phrase WHERE len(f.w) > 1 AND (more IS NULL OR 100 * more < 100 * f.a)),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n.n, CAST(1000::HUGEINT * c.a * n.n // (x.a::HUGEINT * y.a) AS BIGINT) AS score FROM c JOIN n ON n.lang = c.lang
+ JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM t QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_documents": OP4_SQL, "op5_warc": OP5_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_documents": OP4_SQL, "op5_warc": OP5_SQL, "op11_collocations": OP11_SQL}
