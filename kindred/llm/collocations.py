@@ -37,9 +37,9 @@ from ._words import mix
 #: The bitmap's size is 2**BITS bits.
 BITS = 27
 #: Bytes of text that a task counts at a time, and that it cuts into words at a time (ended at the next piece).
-GROUP_BYTES, SLICE_BYTES = 12 << 20, 1 << 21
+GROUP_BYTES, SLICE_BYTES = 6 << 20, 1 << 20
 #: Phrases in a batch that goes back to Spark.
-OUT_ROWS = 100_000
+OUT_ROWS = 50_000
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,7 +83,7 @@ class Words:
             hi = int(cuts[k]) + 1
             got = self._slice(b[lo:hi], piece)
             start = got[2] + lo
-            parts.append((*got[:2], start, *got[3:]))
+            parts.append((*got[:2], start, got[3].astype(np.int32), *got[4:]))
             piece += int(_CUT[b[lo:hi]].sum())
             lo = hi
         h, g, start, size, pieces, kept = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64),) * 3, np.empty(0, np.uint8))
@@ -119,15 +119,16 @@ class Words:
 
 def _numbered(key: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dense numbers of equal keys, and for each number its first place and count. check: tells apart what has equal keys by chance."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    if check is not None and (~new[1:] & (check[order][1:] != check[order][:-1])).any():
+    ordered = key[order]
+    new[1:] = ordered[1:] != ordered[:-1]
+    if check is not None and (~new[1:] & ((other := check[order])[1:] != other[:-1])).any():
         order = np.lexsort((check, key))
         new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
     starts = np.flatnonzero(new)
-    number = np.empty(len(key), np.int64)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return number, order[starts], np.diff(np.append(starts, len(key)))
 
 
@@ -144,7 +145,7 @@ def levels(w: Words, longest: int, proposed: np.ndarray, failed: np.ndarray | No
     h = w.h[first]
     live = old = _in(proposed, h)
     holds = np.zeros(len(h), bool)
-    pos = np.arange(len(w.h))
+    pos = np.arange(len(w.h), dtype=np.int32)
     for k in range(2, longest + 1):
         if len(pos) < 2:
             return
