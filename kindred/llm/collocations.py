@@ -6,15 +6,17 @@ language, phrases of 2 to `longest` words with at least `least` occurrences are
 1. All words are counted, and a bitmap is made of those with `least` occurrences.
 2. A sample of the documents proposes phrases, level by level: those of k words whose first and last k - 1 words
    were proposed and that reach a lowered count in the sample join the bitmap.
-3. One pass over all documents counts the proposed phrases and their negative border exactly. The border are the
-   phrases that were not proposed although both parts of k - 1 words were; those that occur nowhere need no count.
+3. One pass over all documents counts the proposed phrases and their negative border by their hashes. The border are
+   the phrases that were not proposed although both parts of k - 1 words were; those that occur nowhere need no count.
 4. Border phrases with `least` occurrences are failures. If there are any, a further pass counts all that was not
    counted yet and whose parts are proposed, failed, or hold a failure. It takes every length at once, so it closes
    the search: both parts of a phrase with `least` occurrences have as many, so each was counted before (and is
    proposed or failed) or in this pass (and holds a failure), and the pass lets both in.
+5. The last pass counts the texts of all phrases whose hash has `least` occurrences. Most of the border has few, so
+   its texts never leave the tasks.
 
-The bitmap has a fixed size at every scale. Where two phrases share a bit, more phrases are counted than needed;
-counts are of the phrases' texts and exact, whatever the sample held. Groups of a task are told apart by dense
+The bitmap has a fixed size at every scale. Where two phrases share a bit or a hash, more phrases are counted than
+needed; the last counts are of texts and exact, whatever the sample held. Groups of a task are told apart by dense
 numbers of words (two 64-bit hashes a word, checked against each other), phrases by pairs of such numbers.
 
 Edge rows: null texts have no words; a null language is `und`; a piece may be of any length; repeated rows
@@ -37,7 +39,7 @@ from ._words import mix
 #: The bitmap's size is 2**BITS bits.
 BITS = 27
 #: Bytes of text that a task counts at a time, and that it cuts into words at a time (ended at the next piece).
-GROUP_BYTES, SLICE_BYTES = 6 << 20, 1 << 20
+GROUP_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 #: Phrases in a batch that goes back to Spark.
 OUT_ROWS = 50_000
 
@@ -189,6 +191,11 @@ def _rows(w: Words, first: np.ndarray, k: int, count: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([w.keys(first[i : i + OUT_ROWS], k), pa.array(count[i : i + OUT_ROWS].astype(np.int64))], names=["key", "n"])
 
 
+def _hash_rows(h: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(h), OUT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + OUT_ROWS].view(np.int64)), pa.array(count[i : i + OUT_ROWS].astype(np.int64))], names=["h", "n"])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, n): all words of (text, lang) by language, counted."""
 
@@ -201,16 +208,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, proposed: np.ndarray, longest: int, failed: np.ndarray | None = None) -> DataFrame:
-    """(key, n): the phrases of (text, lang) that are proposed or in the border, counted. failed: only those that
-    an earlier pass without it did not count."""
+def phrase_hashes(docs: DataFrame, proposed: np.ndarray, longest: int, failed: np.ndarray | None = None) -> DataFrame:
+    """(h, n): the hashes of the phrases of (text, lang) that are proposed or in the border, counted; the last bit says
+    that the phrase has `longest` words. failed: only those that the pass without it did not count."""
     shared = docs.sparkSession.sparkContext.broadcast((proposed, failed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lost = shared.value
         for w in _groups(batches):
-            for k, first, _, count, counted in levels(w, longest, bits, lost):
-                yield from _rows(w, first, k, count) if lost is None else _rows(w, first[~counted], k, count[~counted])
+            for k, _, h, count, counted in levels(w, longest, bits, lost):
+                h = (h & ~_U(1)) | _U(k == longest)
+                if lost is not None:
+                    h, count = h[~counted], count[~counted]
+                yield from _hash_rows(h, count)
+        release()
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(docs: DataFrame, wanted: np.ndarray, longest: int) -> DataFrame:
+    """(key, n): the phrases of (text, lang) that are wanted and whose parts are, counted."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _groups(batches):
+            for k, first, h, count, _ in levels(w, longest, shared.value):
+                some = _in(shared.value, h)
+                yield from _rows(w, first[some], k, count[some])
         release()
 
     return docs.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -224,33 +248,22 @@ def sample_level(docs: DataFrame, proposed: np.ndarray, k: int) -> DataFrame:
         for w in _groups(batches):
             for level, _, h, count, _ in levels(w, k, shared.value):
                 if level == k:
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
+                    yield from _hash_rows(h, count)
         release()
 
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _hashed(keys: DataFrame) -> DataFrame:
-    """keys with h: the hash that levels() gives the phrase (words: their own)."""
+def _hashed(words: DataFrame) -> DataFrame:
+    """The hashes h of words in (key, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             both = [x.split(b"\n", 1) for x in batch.column("key").to_pylist()]
             w = Words(pa.array([x[0] for x in both], pa.large_binary()), [x[1].decode("utf-8", "surrogatepass") for x in both])
-            starts = np.searchsorted(w.doc, np.arange(len(both)))
-            size = np.bincount(w.doc, minlength=len(both))
-            h, out, k = w.h, np.zeros(len(both), _U), 1
-            while True:
-                out[size == k] = h[starts[size == k]]
-                k += 1
-                if not (size >= k).any():
-                    break
-                h = mix(mix(h[:-1] + _U(k)) * _U(0xD6E8FEB86659FD93) + h[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.h.view(np.int64))], names=["h"])
 
-    return keys.mapInArrow(run, "key binary, n long, h long")
+    return words.mapInArrow(run, "h long")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -262,15 +275,15 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _outside(phrases: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Those of (key, n) that are not in the bitmap, with their hash h."""
-    shared = phrases.sparkSession.sparkContext.broadcast(bitmap)
+def _outside(hashes: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Those of (h, n) that are not in the bitmap."""
+    shared = hashes.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(~_in(shared.value, batch.column("h").to_numpy().view(_U))))
 
-    return _hashed(phrases).mapInArrow(run, "key binary, n long, h long")
+    return hashes.mapInArrow(run, "h long, n long")
 
 
 def _parts(keys: DataFrame) -> DataFrame:
@@ -287,17 +300,18 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     small_batches(docs.sparkSession)
     words = stored(word_counts(docs), "word-counts")
     known = words.where(F.col("n") >= least)
-    bitmap = _bitmap(_hashed(known))
+    bitmap = frequent = _bitmap(_hashed(known))
     sample = stored(docs.where(F.rand(17) < share), "sample")
     enough = max(2, int(share * least - 3 * (share * least) ** 0.5))
     for k in range(2, longest):
         bitmap = bitmap | _bitmap(sample_level(sample, bitmap, k).where(F.col("n") >= enough))
     drop_stored(sample)
-    found = stored(phrase_counts(docs, bitmap, longest).where(F.col("n") >= least), "phrases")
-    lost = stored(_outside(_parts(found).where(F.col("k") < longest).select("key", "n"), bitmap), "border-failures")
-    every = known.unionByName(found)
+    many = stored(phrase_hashes(docs, bitmap, longest).where(F.col("n") >= least), "hashes")
+    lost = stored(_outside(many.where("h & 1 = 0"), bitmap), "border-failures")
     if not lost.isEmpty():
-        every = every.unionByName(stored(phrase_counts(docs, bitmap, longest, _bitmap(lost)).where(F.col("n") >= least), "phrases"))
+        many = many.unionByName(stored(phrase_hashes(docs, bitmap, longest, _bitmap(lost)).where(F.col("n") >= least), "hashes"))
+    found = stored(phrase_counts(docs, frequent | _bitmap(many), longest).where(F.col("n") >= least), "phrases")
+    every = known.unionByName(found)
     total = words.withColumn("lang", F.split(F.col("key").cast("string"), "\n", 2)[1]).groupBy("lang").agg(F.sum("n").alias("n"))
     return _parts(every).select("lang", "w", "k", F.col("n")), total
 
