@@ -1,4 +1,4 @@
-"""Walks over parents: generation depths and the upward lineage."""
+"""Walks over parents and kin: generation depths and the growth of a family."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 
-from .matching import first_by, in_window
 from .tables import written
 
 
@@ -44,28 +43,3 @@ def kin_expansion(seeds: DataFrame, acts: DataFrame, most: int = 60) -> DataFram
             return kin
         kin = kin.unionByName(new)
     raise RuntimeError(f"the kin still grow after {most} rounds")
-
-
-def walk(seeds: DataFrame, acts: DataFrame, most: int = 14, floor: int = 1550) -> DataFrame:
-    """The upward walk, a generation a round: every node of seeds(id, given, surname1, lo, hi, place) takes the
-    baptism that fits best, whose declared parents are the next generation with the window (year - 35,
-    year - 18). Columns: node, generation, act (null: none found), state. A person who is reached twice
-    in a generation is one node."""
-    cols = ["node", "generation", "given", "surname1", "lo", "hi", "place"]
-    now = written(seeds.select(F.concat(T.person_key("given", "surname1"), F.lit("::"), "id").alias("node"), F.lit(0).alias("generation"), "given", "surname1", "lo", "hi", "place"), "walk")
-    a = acts.where("kind = 'bautismo' AND year IS NOT NULL").select("id", "year", T.given_key("given").alias("k"), T.norm("surname1").alias("s"), T.norm("parish").alias("parish"), "municipality", "father_given", "father_surname", "mother_given", "mother_surname")
-    done: DataFrame | None = None
-    for _ in range(most + 1):
-        q = now.where(F.col("hi") >= floor).withColumn("k", T.given_key("given")).withColumn("s", T.norm("surname1")).where("k <> '' AND s <> ''")
-        points = F.when((F.col("place") != "") & F.contains("parish", T.norm("place")), 3).otherwise(0) + F.when(T.norm("municipality") == T.norm("place"), 2).otherwise(0)
-        hits = in_window(q.select("node", "k", "s", "lo", "hi", "place"), "lo", "hi", a, "year", ["k", "s"]).withColumn("points", points).withColumn("far", F.abs(F.col("year") - (F.col("lo") + F.col("hi")) / 2))
-        best = written(first_by(hits, ["node"], F.desc("points"), "far", "id"), "best")
-        part = now.select("node", "generation").join(best.select("node", F.col("id").alias("act")).hint("merge"), "node", "left").withColumn("state", F.when(F.col("act").isNotNull(), "identified").otherwise("not_found"))
-        done = part if done is None else done.unionByName(part)
-        up = best.join(now.select("node", "generation").hint("merge"), "node").select("year", "municipality", "generation", F.explode(F.array(F.struct(F.col("father_given").alias("given"), F.col("father_surname").alias("surname1")), F.struct(F.col("mother_given").alias("given"), F.col("mother_surname").alias("surname1")))).alias("x"))
-        nxt = up.where("x.given <> ''").select((F.col("generation") + 1).alias("generation"), "x.given", "x.surname1", (F.col("year") - 35).alias("lo"), (F.col("year") - 18).alias("hi"), F.col("municipality").alias("place"))
-        nxt = nxt.withColumn("node", F.concat(T.person_key("given", "surname1"), F.lit("::"), F.col("lo"))).groupBy("node").agg(F.min(F.struct(*[c for c in cols if c != "node"])).alias("m")).select("node", "m.*")
-        now = written(nxt.select(cols), "walk")
-        if now.isEmpty():
-            break
-    return done

@@ -67,6 +67,16 @@ def acts_naming(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFra
     return met.groupBy("person_id", "id").agg(F.min("r").alias("r")).select("person_id", "id", F.when(F.col("r") == 0, "self").otherwise("child").alias("role"))
 
 
+def surname_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(s, t) of surnames, normalised and with hyphens as spaces, that are the same: equal, or one of at least four
+    letters within the other. a and b have such a column `s`; only distinct values are compared, by pieces of four letters."""
+    pieces = lambda c: F.explode(F.array_distinct(F.when(F.length(c) >= 4, F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4)))).otherwise(F.array(c)))).alias("piece")
+    x = a.select("s").distinct().where("s <> ''").select("s", pieces(F.col("s")))
+    y = b.select(F.col("s").alias("t")).distinct().where("t <> ''").select("t", pieces(F.col("t")))
+    inside = (F.length("s") >= 4) & (F.length("t") >= 4) & (F.contains(F.col("s"), F.col("t")) | F.contains(F.col("t"), F.col("s")))
+    return x.join(y.hint("merge"), "piece").select("s", "t").distinct().where((F.col("s") == F.col("t")) | inside)
+
+
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

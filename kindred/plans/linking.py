@@ -336,22 +336,39 @@ def i3(t):
 
 
 def walked(t):
-    from kindred.operators.lineage import walk
+    """The lines of all people with a year, a register for each province."""
+    from kindred.operators.register import lineage
 
-    seeds = t["people"].where("birth_year IS NOT NULL").select("id", "given", "surname1", (F.col("birth_year") - 20).alias("lo"), (F.col("birth_year") + 20).alias("hi"), "place")
-    return walk(seeds, t["acts"])
+    seeds = t["people"].where("birth_year IS NOT NULL").select(
+        F.col("province").alias("branch"), "given", "surname1", F.col("birth_year").alias("year"), (F.col("birth_year") - 20).alias("lo"), (F.col("birth_year") + 20).alias("hi"), F.lit("").alias("parish"), "place")
+    return lineage(seeds, t["acts"])
 
 
 @query("i4_lineage_walk")
 def i4(t):
-    return walked(t)
+    """Rows of the register; no SQL, as each round resolves who comes against what the rounds before left (brute force in the tests)."""
+    return walked(t).nodes.select("branch", "node", "given", "year", "generation", "role", "state", "act", "confidence", "origin")
 
 
 @query("e15_i6_lineage_summary")
 def e15(t):
-    """By generation: nodes, those identified, missing links."""
-    found = F.col("state") == "identified"
-    return walked(t).groupBy("generation").agg(F.count("*").alias("nodes"), F.count_if(found).alias("identified"), F.count_if(~found).alias("missing"))
+    from kindred.operators.register import summary
+
+    return summary(walked(t))
+
+
+@query("i6_missing_links")
+def i6_missing(t):
+    from kindred.operators.register import missing_links
+
+    return missing_links(walked(t))
+
+
+@query("i6_collaterals")
+def i6_collaterals(t):
+    from kindred.operators.register import siblings
+
+    return siblings(walked(t), t["acts"])
 
 
 @query("i5_siblings", f"WITH {FAM} SELECT a.id, fam.first_id, CASE WHEN a.id = fam.first_id THEN 'first' ELSE 'sibling' END AS role FROM acts a JOIN fam ON fk = {norm("concat_ws(' ', father_given, father_surname)")} AND mk = {norm("concat_ws(' ', mother_given, mother_surname)")} WHERE a.kind = 'bautismo' AND fk <> '' AND mk <> ''")
