@@ -47,14 +47,16 @@ def resolve(queries: DataFrame, people: DataFrame, tolerance: int = 6) -> DataFr
     """queries(qid, name, year) -> qid, person_id, tier, n (cards that fit): the person that a name stands for, null
     if none or not sure. Exact normalised name first, else all tokens within the card's; of several, the one whose
     birth year is within the tolerance."""
-    p = people.select(F.col("id").alias("person_id"), F.col("name").alias("card"), "birth_year")
+    # cards are summed by name and year first, so that namesakes do not multiply
+    summed = lambda df: df.groupBy("name", "birth_year").agg(F.min("tier").alias("tier"), F.sum("cards").alias("cards"), F.min("person_id").alias("person_id"))
+    p = people.groupBy(F.col("name").alias("card"), "birth_year").agg(F.count("*").alias("cards"), F.min("id").alias("person_id"))
     names = queries.select("name").distinct()
-    exact = written(names.withColumn("k", T.norm("name")).where("k <> ''").join(p.withColumn("k", T.norm("card")).hint("merge"), "k").select("name", "person_id", "birth_year", F.lit(1).alias("tier")), "exact")
+    exact = written(summed(names.withColumn("k", T.norm("name")).where("k <> ''").join(p.withColumn("k", T.norm("card")).hint("merge"), "k").withColumn("tier", F.lit(1))), "exact")
     rest = names.join(exact.select("name").distinct().hint("merge"), "name", "left_anti")
-    loose = token_pairs(rest.withColumn("qname", F.col("name")), "name", "qname", p, "person_id", "card").join(p.select("person_id", "birth_year").hint("merge"), "person_id").select("name", "person_id", "birth_year", F.lit(2).alias("tier"))
-    cards = exact.unionByName(written(loose, "loose"))
+    alike = token_pairs(rest.withColumn("qname", F.col("name")), "name", "qname", p.select("card", F.col("card").alias("words")).distinct(), "card", "words")
+    cards = exact.unionByName(written(summed(alike.join(p.hint("merge"), "card").withColumn("tier", F.lit(2))), "loose"))
     near = F.abs(F.col("year") - F.col("birth_year")) <= tolerance
-    found = queries.select("qid", "name", "year").join(cards.hint("merge"), "name").groupBy("qid").agg(F.min("tier").alias("tier"), F.count("*").alias("n"), F.min("person_id").alias("one"), F.count_if(near).alias("k"), F.min(F.when(near, F.col("person_id"))).alias("dated"))
+    found = queries.select("qid", "name", "year").join(cards.hint("merge"), "name").groupBy("qid").agg(F.min("tier").alias("tier"), F.sum("cards").alias("n"), F.min("person_id").alias("one"), F.coalesce(F.sum(F.when(near, F.col("cards"))), F.lit(0)).alias("k"), F.min(F.when(near, F.col("person_id"))).alias("dated"))
     pick = F.when(F.col("n") == 1, F.col("one")).when(F.col("k") == 1, F.col("dated"))
     return queries.select("qid").join(found.hint("merge"), "qid", "left").select("qid", pick.alias("person_id"), F.when(pick.isNotNull(), F.col("tier")).alias("tier"), F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
-from kindred.operators.tables import written
+from kindred.operators.tables import running, written
 
 
 from .registry import event_class, norm, query, strings, tokens, year_of
@@ -45,16 +45,6 @@ def a10(t):
     return e.join(top.hint("merge"), "event_id", "left").select("event_type", "event_id", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
-def running(df, key, order, value, name):
-    """df with the running sum `name` of value by key: ranges of the order are summed apart and then shifted by the
-    sums of the ranges before, so that no task gets all rows of a key. Written, as ranges are drawn by sampling."""
-    part = written(df.repartitionByRange(key, order).withColumn("part", F.spark_partition_id()), "ranges")
-    sums = part.groupBy(key, "part").agg(F.sum(value).alias("n"))
-    before = sums.select(key, "part", F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    w = Window.partitionBy(key, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return part.join(before.hint("merge"), [key, "part"]).withColumn(name, F.sum(value).over(w) + F.col("before")).drop("part", "before")
-
-
 @query("a11_source_table", "SELECT url, min(id) AS first_use, count(*) AS n FROM findings GROUP BY url")
 def a11(t):
     return t["findings"].groupBy("url").agg(F.min("id").alias("first_use"), F.count("*").alias("n"))

@@ -74,7 +74,13 @@ def findings(duck: bool) -> str:
  FROM {{acts}}"""
 
 
-DOMAIN = {"people": people, "acts": acts, "findings": findings}
+def claims(duck: bool) -> str:
+    """What a review says of each card: one event an act of the card, one in 31 without a source."""
+    return """SELECT a.id AS event, p.id AS person_id, p.name, a.kind, a.fecha, a.municipality AS place, CASE WHEN a.id % 31 = 4 THEN '' ELSE concat('https://archivo.example.org/acta/', CAST(a.id AS VARCHAR(20))) END AS url
+ FROM {acts} a JOIN {orders} ON o_orderkey = a.id JOIN {people} p ON p.seq = o_custkey + 1"""
+
+
+DOMAIN = {"people": people, "acts": acts, "findings": findings, "claims": claims}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -97,8 +103,8 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def with_domain(sql: str) -> str:
     """DuckDB SQL with the domain tables that it names put before it."""
     used = [d for d in DOMAIN if f" {d} " in f" {sql.replace('(', ' ').replace(')', ' ').replace(',', ' ').replace(chr(10), ' ')} "]
-    if "findings" in used and "acts" not in used:
-        used.insert(0, "acts")
+    for d, needed in (("claims", ("acts", "people")), ("findings", ("acts",))):
+        used += [x for x in needed if d in used and x not in used]
     head = ", ".join(f"{d} AS MATERIALIZED ({DOMAIN[d](True).format(**{t: t for t in (*TABLES, *DOMAIN)})})" for d in sorted(used, key=list(DOMAIN).index))
     if not head:
         return sql

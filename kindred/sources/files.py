@@ -81,3 +81,18 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = sorted(str(s.getPath()) for s in fs.listStatus(p) if "/v=" in str(s.getPath()))
     return next((n for n in reversed(names) if _exists(spark, n + "/_SUCCESS")), None)
+
+
+def new_version(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
+    """Write several tables as the next version under `path` and return its folder. The mark that makes it current is
+    set last, so readers see all of the tables or none."""
+    out = f"{path.rstrip('/')}/v={time.time_ns():020d}"
+    for name, df in tables.items():
+        df.write.parquet(f"{out}/{name}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+    return out
+
+
+def read_version(spark: SparkSession, at: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in schemas.items()}
