@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
+from kindred.operators.branches import closure
 from kindred.operators.commit import TREE, commit, verifying
+from kindred.operators.families import provisional_people
 from kindred.operators.tables import written
 
 from .linking import LEVELS, levels
@@ -100,3 +102,33 @@ def i12_cards(t):
     n = lambda name, to: tree[name].distinct().groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias(to)).hint("merge")
     out = tree["cards"].join(n("evidence", "n_evidence"), "id", "left").join(n("notes", "n_notes"), "id", "left").join(n("marriages", "n_marriages"), "id", "left")
     return out.select("id", "state", *FIELDS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_evidence", "n_notes", "n_marriages")])
+
+
+@query("i7_branch_closure")
+def i7_closure(t):
+    """The branch of one municipality, told by given name and first surname as its cards name parents; every second card says no place, as trees do. No SQL (brute force in the tests)."""
+    p = t["people"].withColumn("name", F.concat_ws(" ", "given", "surname1"))
+    blank = lambda c: F.when(F.col("seq") % 2 == 0, F.col(c)).otherwise("")
+    waits = t["findings"].where("homonym").select(F.col("person").alias("name"), F.lit("").alias("province"), "place")
+    return closure(p.withColumns({"province": F.lit(""), "place": blank("place")}), waits, [], ["NATION_3"])
+
+
+FAMILY_OF = f"fk = {norm("concat_ws(' ', father_given, father_surname)")} AND mk = {norm("concat_ws(' ', mother_given, mother_surname)")}"
+FULL = lambda r: f"CASE WHEN {r}_given <> '' THEN trim(concat_ws(' ', {r}_given, {r}_surname, {r}_surname2)) ELSE '' END"
+PROVISIONAL = f"""WITH b AS MATERIALIZED (SELECT *, {norm("concat_ws(' ', father_given, father_surname)")} AS fk, {norm("concat_ws(' ', mother_given, mother_surname)")} AS mk FROM acts WHERE kind = 'bautismo' AND (father_given <> '' OR mother_given <> '')),
+h AS MATERIALIZED (SELECT fk, mk, coalesce(lo, 9999) AS lo, {FULL('father')} AS father, {FULL('mother')} AS mother, father_given, mother_given, father_surname, father_surname2, mother_surname, mother_surname2, municipality FROM (SELECT *, min(year) OVER (PARTITION BY fk, mk) AS lo, row_number() OVER (PARTITION BY fk, mk ORDER BY id) AS r FROM b) WHERE r = 1),
+m0 AS MATERIALIZED (SELECT fk AS k, CAST(NULL AS INT) AS y, father AS name, father_surname AS s1, father_surname2 AS s2, municipality, '' AS up_f, '' AS up_m, (lo, father, mother, fk, mk, 0, -1, 0) AS pos FROM h WHERE father_given <> ''
+ UNION ALL SELECT mk, NULL, mother, mother_surname, mother_surname2, municipality, '', '', (lo, father, mother, fk, mk, 1, -1, 0) FROM h WHERE mother_given <> ''
+ UNION ALL SELECT {norm("concat_ws(' ', b.given, b.surname1)")}, b.year, trim(regexp_replace(concat_ws(' ', b.given, b.surname1, b.surname2), ' +', ' ', 'g')), b.surname1, b.surname2, h.municipality, CASE WHEN h.father_given <> '' THEN fk ELSE '' END, CASE WHEN h.mother_given <> '' THEN mk ELSE '' END, (h.lo, father, mother, fk, mk, 2, coalesce(b.year, -1), b.id) FROM b JOIN h USING (fk, mk) WHERE b.given <> ''),
+f0 AS MATERIALIZED (SELECT k, min(y) AS year0 FROM m0 GROUP BY k),
+m AS MATERIALIZED (SELECT m0.*, coalesce(y, year0) AS year FROM m0 JOIN f0 USING (k)),
+w AS MATERIALIZED (SELECT k, year, min(pos) AS pos, arg_min(name, (-len(string_split(name, ' ')), pos)) AS name, {', '.join(f"coalesce(arg_min({x}, pos) FILTER ({x} <> ''), '') AS {to}" for x, to in (('s1', 'surname1'), ('s2', 'surname2'), ('municipality', 'municipality'), ('up_f', 'up_f'), ('up_m', 'up_m')))}, count(*) AS mentions FROM m GROUP BY k, year),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY pos) AS number FROM w),
+i AS MATERIALIZED (SELECT *, concat('AV', CASE WHEN number < 1000 THEN lpad(CAST(number AS VARCHAR), 3, '0') ELSE CAST(number AS VARCHAR) END) AS id, count(*) OVER (PARTITION BY name) AS c, row_number() OVER (PARTITION BY name, year ORDER BY number) AS r FROM n),
+u AS MATERIALIZED (SELECT i.k, i.id FROM i JOIN f0 ON f0.k = i.k AND i.year IS NOT DISTINCT FROM year0),
+d AS (SELECT up, count(*) AS children FROM (SELECT DISTINCT k, year, unnest([up_f, up_m]) AS up FROM m) WHERE up <> '' GROUP BY up)"""
+
+
+@query("i11_provisional_tree", f"{PROVISIONAL} SELECT number, i.id, i.k, year, concat(name, CASE WHEN c > 1 THEN concat(' (', coalesce(CAST(year AS VARCHAR), '¿?'), CASE WHEN r > 1 THEN concat(' #', r) ELSE '' END, ')') ELSE '' END) AS label, surname1, surname2, municipality, a.id AS father_id, b.id AS mother_id, coalesce(d.children, 0) AS children, mentions FROM i LEFT JOIN u a ON a.k = up_f LEFT JOIN u b ON b.k = up_m LEFT JOIN u o ON o.id = i.id LEFT JOIN d ON d.up = o.k")
+def i11_tree(t):
+    return provisional_people(t["acts"])
