@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.plans import linking, names, registry, research, summaries, tree  # noqa: F401
+from kindred.plans import linking, lookups, names, registry, research, summaries, tree  # noqa: F401
 
 from .harness import connect, differences
 
