@@ -35,7 +35,7 @@ KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH, JOINED = 500_000, 400_000, 48, 500
 #: Python's str.split() also splits at these, which are not white space to the tokenizers.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
-#: Characters whose lower case or normal form is left to the library.
+#: Characters whose lower case, normal form and class are left to the library.
 WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
@@ -45,13 +45,16 @@ class WordCoder:
 
     Of a file whose normaliser is NFC, white space and lower case and whose words are split by a
     pattern into bytes, new words are split here and only new pieces are merged by the library, many
-    in one call; words with characters from U+0250 on are normalised by the library first."""
+    in one call; words with characters from U+0250 on, whose classes may differ between engines, are
+    left whole to the library. So are texts in which an added token's name stands (in any case): the
+    library cuts those off before it looks at words."""
 
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.by_word = by_word
         self.kept: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -60,7 +63,6 @@ class WordCoder:
             import regex
 
             self.pattern = regex.compile(self.pattern + "|\n")
-            self.normalizer = self.tokenizer.normalizer
             self.merger = Tokenizer.from_file(path)
             self.merger.encode_special_tokens = True
             self.merger.normalizer = normalizers.Sequence([])
@@ -88,12 +90,15 @@ class WordCoder:
             self.kept.clear()
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        cut = [[] if not t else [w for w in SPACES.split(t) if w] if NOT_SPACE.search(t) else t.split() for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and self.added is not None and self.added.search(t)}
+        cut = [[] if not t or i in whole else [w for w in SPACES.split(t) if w] if NOT_SPACE.search(t) else t.split() for i, t in enumerate(texts)]
         new: set[str] = set()
         for words in cut:
             new.update(filterfalse(self.kept.__contains__, words))
         self._add(new)
         out = [b"".join(map(self.kept.__getitem__, words)) for words in cut]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         for w in (w for w in new if len(w) > KEPT_LENGTH):
             del self.kept[w]
         return out
@@ -104,8 +109,8 @@ class WordCoder:
                 self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
             return
         wide = [w for w in new if WIDE.search(w)] if WIDE.search("\n".join(new)) else []
-        for w in wide:
-            self._split([w], self.normalizer.normalize_str(w))
+        for w, e in zip(wide, self.tokenizer.encode_batch_fast(wide, add_special_tokens=False), strict=True):
+            self.kept[w] = np.array(e.ids, "<u4").tobytes()
         plain = new.difference(wide) if wide else new
         letters = list(filter(str.isalpha, plain))  # one piece each
         low = "\n".join(letters).lower().split("\n")

@@ -32,13 +32,11 @@ def test_file(tmp_path):
 def library(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_edge_rows(spark):
-    texts = [None, "", "  ", "A b\x00c \x00 \x1cX\x1f", "Σας ΑΣ İ é 日本 " + "q" * 3000, "same", "same", "a <|endoftext|> b", "don't 12 x"]
+    texts = [None, "", "  ", "A b\x00c \x00 \x1cX\x1f", "Σας ΑΣ İ é 日本 " + "q" * 3000, "same", "same", "a <|endoftext|> b", "don't 12 x", "x<|STARTOFTEXT|>y <|endoftext|><|endoftext|>", "\u0558 a\u058bb \u088f"]
     df = spark.createDataFrame([(i if i != 6 else 5, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, start string")
     got = sorted(T.read(spark, T.write(df, PATH, end_id=1, by_word=True, file_tokens=5)).collect(), key=lambda r: (r.doc_id, r.start))
     at = 0
@@ -60,3 +58,14 @@ def test_query(spark, sf):
         want = library(rows[r.doc_id])
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
+
+
+def test_every_code_point():
+    """As the library has it with nothing set, each code point between letters and by itself."""
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(PATH), T.WordCoder(PATH, True)
+    for lo in range(0, 0x20000, 0x2000):
+        texts = [x for p in range(lo, lo + 0x2000) if not 0xD800 <= p < 0xE000 for x in (f"a{chr(p)}b", chr(p))]
+        for x, got, e in zip(texts, c.encode(texts), t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == e.ids, x
