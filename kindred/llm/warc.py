@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page id; each task writes its range as files of gzip members, a record
-each, and starts a new file once the compressed size is reached. Headers and digests are made anew
+Records are range-sorted by page id. The ranges are drawn from exact sums of payload bytes over
+buckets of the id, not from a sample, so they and the files depend on the pages alone: not on
+partitions, batches or which task writes. A range is written as files of gzip members, a record
+each; a new file starts with a range and once the compressed size is reached. Headers and digests are made anew
 from the payload. Of equal payloads the one with the smallest page id is a response, the others are
 revisits of it. Files appear by rename from temporary names; the manifest, a table written when all
 are there, lists what belongs to the archive. The same input gives the same bytes."""
@@ -14,6 +16,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,11 @@ from ._common import new_dir, small_batches, stored
 from ._files import make_dir, store, write_whole
 
 FILE_BYTES = 32 << 20
+#: Payload bytes of a range: this share of all, within these bounds; and buckets of the id (as a power of two) in which
+#: they are summed at a time.
+RANGES, RANGE_BYTES, BUCKET_BITS = 256, (8 << 20, 512 << 20), 16
+#: Partitions at most that ranges are dealt to.
+PARTITIONS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EOL = b"\r\n"
@@ -80,6 +89,37 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return again.select("page_id", "digest", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url"))
 
 
+def range_starts(pages: DataFrame) -> np.ndarray:
+    """The first ids of all ranges but the first. Bytes are summed by the highest bits of the id, buckets that hold
+    more than a range again by the next bits, and consecutive buckets make a range until it would be too large. At
+    most 2**BUCKET_BITS sums for each of a few buckets reach the driver; one id is never divided."""
+    rows = pages.select(F.col("page_id").cast("long").alias("id"), (F.octet_length(F.coalesce("html", F.lit(""))) + 300).alias("n")).where("id IS NOT NULL")
+    whole = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("n").alias("n")).first()
+    if whole.n is None:
+        return np.empty(0, np.int64)
+    most = min(max(whole.n // RANGES, RANGE_BYTES[0]), RANGE_BYTES[1])
+    shift = 0
+    while (whole.hi >> shift) - (whole.lo >> shift) >= 1 << BUCKET_BITS:
+        shift += 1
+    cells, some = [], rows
+    while True:
+        sums = some.groupBy(F.shiftright("id", shift).alias("b")).agg(F.sum("n").alias("n")).toArrow().to_pylist()
+        heavy = [r["b"] for r in sums if r["n"] > most] if shift else []
+        again = set(heavy)
+        cells += [(r["b"] << shift, r["n"]) for r in sums if r["b"] not in again]
+        if not heavy:
+            break
+        some = rows.where(F.shiftright("id", shift).isin(heavy))
+        shift = max(0, shift - BUCKET_BITS)
+    starts, held = [], 0
+    for at, n in sorted(cells):
+        if held and held + n > most:
+            starts.append(at)
+            held = 0
+        held += n
+    return np.array(starts, np.int64)
+
+
 def write(pages: DataFrame, out_dir: str | None = None, file_bytes: int = FILE_BYTES, least_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write pages(page_id, url, html) and return the manifest, a stored table: file, part, seq,
     n_records, n_bytes, sha1 (hex, of the file).
@@ -95,27 +135,40 @@ def write(pages: DataFrame, out_dir: str | None = None, file_bytes: int = FILE_B
     marks = revisits(pages, least_bytes).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", "refers_url")
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), "url", F.encode(payload, "UTF-8").alias("payload"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
-    sorted_rows = rows.unionByName(marks).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", F.xxhash64("url", "payload"))
+    starts = range_starts(pages)
+    ranges = len(starts) + 1
+    parts = min(ranges, PARTITIONS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, ids.to_numpy(), "right").astype(np.int32))
 
-        part, done, held, size, n = TaskContext.get().partitionId(), [], [], 0, 0
+    # null ids stand before all others
+    place = range_of(F.coalesce("page_id", F.lit(-(2**63)).cast("long")))
+    all_rows = rows.unionByName(marks).withColumn("range", place)
+    sorted_rows = all_rows.repartitionById(parts, F.floor(F.col("range").cast("long") * parts / ranges).cast("int")).sortWithinPartitions("range", "page_id", "kind", F.xxhash64("url", "payload"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, done, held, size, n = 0, 0, [], [], 0, 0
         here: object = ...
         marked: dict[str, tuple[int, str | None]] = {}
         own: set[str] = set()
         turn = 0
 
         def flush() -> None:
-            nonlocal held, size, n
-            name = f"{out_dir}/part-{part:06d}-{len(done):05d}.warc.gz"
-            data = member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, part << 16 | len(done))), ("WARC-Date", date), ("WARC-Filename", name.rpartition("/")[2]), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n") + b"".join(held)
+            nonlocal held, size, n, seq
+            name = f"{out_dir}/part-{part:06d}-{seq:05d}.warc.gz"
+            data = member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, part << 16 | seq)), ("WARC-Date", date), ("WARC-Filename", name.rpartition("/")[2]), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n") + b"".join(held)
             write_whole(name, data)
-            done.append({"file": name, "part": part, "seq": len(done), "n_records": n, "n_bytes": len(data), "sha1": hashlib.sha1(data).hexdigest()})
-            held, size, n = [], 0, 0
+            done.append({"file": name, "part": part, "seq": seq, "n_records": n, "n_bytes": len(data), "sha1": hashlib.sha1(data).hexdigest()})
+            held, size, n, seq = [], 0, 0, seq + 1
 
         for batch in batches:
-            for page_id, kind, url, data, digest, to, to_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, kind, url, data, digest, to, to_url, into in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if into != part:
+                    if held:
+                        flush()
+                    part, seq = into, 0
                 if here is ... or page_id != here:
                     here, marked, own, turn = page_id, {}, set(), 0
                 if kind == 0:

@@ -40,6 +40,26 @@ def test_round_trip(spark, tmp_path):
     assert all(r.record_type == "response" for r in W.read(spark, W.write(df.where("page_id = 5 or page_id = 2"), least_bytes=5)).collect())
 
 
+def test_the_same_pages_give_the_same_bytes(spark, monkeypatch):
+    """Far above what range partitioning would sample, from three partitionings and batch sizes; ids in clumps, so that
+    buckets are summed again by finer ones."""
+    monkeypatch.setattr(W, "RANGE_BYTES", (1 << 18, 1 << 20))
+    monkeypatch.setattr(W, "BUCKET_BITS", 5)
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id") * 7).otherwise(F.col("id") + 10**15).alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("page "), F.col("id") % 5000).alias("html"))
+    files = []
+    try:
+        for parts, batch in ((8, 10_000), (3, 100), (13, 777)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            man = W.write(df.repartition(parts, F.rand(parts)), file_bytes=1 << 19).collect()
+            files.append(sorted((r.file.rpartition("/")[2], r.n_records, r.sha1) for r in man))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert files[0] == files[1] == files[2] and len(files[0]) > 20 and sum(n for _, n, _ in files[0]) == 60_000
+    starts = W.range_starts(df)
+    assert (starts[1:] > starts[:-1]).all() and starts[-1] > 10**15
+
+
 def test_empty(spark):
     assert W.written_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
