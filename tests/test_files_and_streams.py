@@ -56,3 +56,47 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         J.ingest_once(batch, str(tmp_path / "once"))
     assert spark.read.parquet(str(tmp_path / "once")).count() == 3
+
+
+def test_ingest_by_batches(spark, tmp_path):
+    """Batches by id: one run again replaces its own rows, and a batch reads only the folders of its hashes."""
+    at, t0 = str(tmp_path / "seen"), datetime.datetime(2024, 1, 1)
+    make = lambda hashes: spark.createDataFrame([(h, t0, 1) for h in hashes], "hash string, ts timestamp, part_ int")
+    have = lambda: sorted((r.hash, r.batch) for r in spark.read.parquet(at).collect())
+    J.ingest_once(make(["a", "b", "a", None]), at, 0)
+    J.ingest_once(make(["b", "c"]), at, 1)
+    want = [("a", 0), ("b", 0), ("c", 1)]
+    assert have() == want
+    J.ingest_once(make(["b", "c"]), at, 1)
+    J.ingest_once(make(["a", "b"]), at, 0)
+    assert have() == want
+    J.ingest_once(make([]), at, 2)
+    assert have() == want
+    plan = spark.read.parquet(at).where(F.col("part").isin([3]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_cooldown_in_batches_is_the_replay(spark, tmp_path):
+    """A file a batch, so that state is kept and dropped between batches; the same answers as one walk over all rows."""
+    import random
+
+    r, t0, src = random.Random(4), datetime.datetime(2024, 1, 1), str(tmp_path / "s")
+    rows = sorted((t0 + datetime.timedelta(minutes=13 * i), f"q{r.randrange(5)}", r.choice(["fail", "fail", "outage", "outage", "ok" if i > 150 else "fail"])) for i in range(200))
+    done, last, want = set(), {}, {}
+    for ts, q, outcome in rows:
+        want[q, ts] = q not in done and (q not in last or ts >= last[q] + datetime.timedelta(hours=2))
+        if outcome == "ok":
+            done.add(q)
+        if outcome == "fail":
+            last[q] = ts
+    for k in range(4):
+        spark.createDataFrame([(q, ts, o) for ts, q, o in rows[50 * k : 50 * k + 50]], "query string, ts timestamp, outcome string").coalesce(1).write.mode("append").parquet(f"{src}/{k}")
+    stream = spark.readStream.schema("query string, ts timestamp, outcome string").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = J.cooldown(stream, 2.0, "0 seconds").writeStream.outputMode("append").format("memory").queryName("replay").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in (x if isinstance(x, dict) else __import__("json").loads(x.json) for x in q.recentProgress) if p["stateOperators"]]
+    finally:
+        q.stop()
+    assert {(x.query, x.ts): x.allowed for x in spark.table("replay").collect()} == want and True in want.values() and False in want.values()
+    assert max(kept) <= 40
