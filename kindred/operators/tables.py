@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir: rounds of a loop and results that are used several
-    times neither grow the plan nor depend on an executor that may be lost. Only where the setting is missing
-    and all runs on one machine (tests) a temporary folder is made and set."""
-    spark: SparkSession = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Only where the setting is missing and all runs on one machine
+    (tests) a temporary folder is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         master = spark.sparkContext.master
@@ -21,7 +19,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/kindred-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: rounds of a loop and results that are used several times neither grow the
+    plan nor depend on an executor that may be lost."""
+    spark: SparkSession = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -97,7 +97,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                 self[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
             return self[name]
 
-    return Lazy()
+    out = Lazy()
+    out.spark, out.sf_dir = spark, sf_dir
+    return out
 
 
 def with_domain(sql: str) -> str:
