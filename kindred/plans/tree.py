@@ -8,10 +8,11 @@ from kindred.functions import text as T
 from kindred.operators.branches import closure
 from kindred.operators.commit import TREE, commit, verifying
 from kindred.operators.families import provisional_people
+from kindred.operators.frontier import frontier, searches
 from kindred.operators.tables import written
 
-from .linking import LEVELS, levels
-from .registry import event_class, norm, query, tokens
+from .linking import LEVELS, d20, levels, resolved
+from .registry import event_class, norm, query, strings, tokens
 
 LIKE = "x.k = y.k OR (len(x.t) > 0 AND len(y.t) > 0 AND (list_has_all(x.t, y.t) OR list_has_all(y.t, x.t)))"
 VOUCHED = f"""{LEVELS},
@@ -132,3 +133,44 @@ d AS (SELECT up, count(*) AS children FROM (SELECT DISTINCT k, year, unnest([up_
 @query("i11_provisional_tree", f"{PROVISIONAL} SELECT number, i.id, i.k, year, concat(name, CASE WHEN c > 1 THEN concat(' (', coalesce(CAST(year AS VARCHAR), '¿?'), CASE WHEN r > 1 THEN concat(' #', r) ELSE '' END, ')') ELSE '' END) AS label, surname1, surname2, municipality, a.id AS father_id, b.id AS mother_id, coalesce(d.children, 0) AS children, mentions FROM i LEFT JOIN u a ON a.k = up_f LEFT JOIN u b ON b.k = up_m LEFT JOIN u o ON o.id = i.id LEFT JOIN d ON d.up = o.k")
 def i11_tree(t):
     return provisional_people(t["acts"])
+
+
+RARE = f"CASE WHEN list_contains({strings(T.COMMON_SURNAMES)}, {norm('surname')}) OR {norm('surname')} = '' THEN 0 WHEN list_has_any(list_filter(string_split({norm('surname')}, ' '), lambda x: NOT list_contains({strings(T.STOPWORDS)}, x)), {strings(T.COMMON_SURNAMES)}) THEN 1 ELSE 3 END"
+PRINT = f"SELECT {norm('person')} AS anchor, sha256(string_agg(k, '::' ORDER BY k)) AS print FROM (SELECT DISTINCT person, concat_ws('|', {norm('person')}, kind, fecha, url) AS k FROM findings ) GROUP BY 1"
+HINTS = f"""hc AS (SELECT DISTINCT trim(regexp_extract(x, '(?i)^\\s*([^()]+?)\\s*\\((?:padrino|padrinos|testigo|testigos)\\)', 1)) AS name FROM (SELECT unnest(names) AS x FROM findings )),
+hi AS (SELECT name FROM hc WHERE len(name) >= 3 AND NOT contains(name, 'no consta') AND {norm("regexp_extract(name, '^\\S+ (.*)$', 1)")} IN (SELECT {norm('surname1')} FROM people ) AND {norm('name')} NOT IN (SELECT {norm('name')} FROM people ))"""
+FRONTIER = f"""{LEVELS}, up AS MATERIALIZED (SELECT DISTINCT id, trim(unnest([father, mother])) AS name FROM people ),
+un AS (SELECT DISTINCT name AS qid, name, CAST(NULL AS INT) AS year FROM up WHERE name <> ''), {resolved('un', 'u')},
+ok AS MATERIALIZED (SELECT qid AS name FROM ures JOIN people p ON p.id = person_id WHERE n_evidence > 0),
+pa AS MATERIALIZED (SELECT id, count(*) FILTER (name NOT IN (SELECT name FROM ok)) AS open, string_agg({norm('name')}, '::' ORDER BY {norm('name')}) AS couple FROM up WHERE name <> '' GROUP BY id),
+ki AS MATERIALIZED (SELECT p.*, surname1 AS surname, couple, CASE WHEN n_evidence <= 0 THEN 'person' WHEN couple IS NULL THEN NULL WHEN open > 0 THEN 'parents' ELSE 'siblings' END AS what FROM people p LEFT JOIN pa ON pa.id = p.id),
+kf AS (SELECT * FROM ki WHERE what IS NOT NULL QUALIFY what <> 'siblings' OR row_number() OVER (PARTITION BY couple, what ORDER BY seq) = 1),
+ow AS MATERIALIZED (SELECT concat(what, '::', CASE what WHEN 'siblings' THEN couple ELSE {norm('name')} END) AS key, what AS kind, {norm('name')} AS anchor, id, least(10, 1.5 * {RARE} + CASE province WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 1 ELSE 0 END + CASE WHEN n_evidence > 0 THEN 2 WHEN birth_year IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN birth_year <= 1900 THEN 1 ELSE 0 END + CASE what WHEN 'siblings' THEN 0.5 ELSE 0 END) AS priority FROM kf),
+pr AS MATERIALIZED ({PRINT}),
+md AS MATERIALIZED (SELECT key, max(coalesce(print, '')) AS old FROM (SELECT concat(unnest(['person::', 'parents::']), {norm('name')}) AS key, CASE WHEN seq % 8 = 0 THEN print ELSE 'before' END AS print FROM people p LEFT JOIN pr ON pr.anchor = {norm('name')} WHERE seq % 4 = 0 UNION ALL SELECT concat('candidate::', anchor), CASE WHEN len(anchor) % 2 = 0 THEN print ELSE 'before' END FROM pr WHERE len(anchor) % 3 = 0) GROUP BY key),
+st AS (SELECT ow.*, CASE WHEN old IS NULL THEN 'queued' WHEN old <> '' AND coalesce(print, '') <> '' AND old <> print THEN 'reopened' ELSE 'omitted' END AS status FROM ow LEFT JOIN pr USING (anchor) LEFT JOIN md USING (key)),
+{HINTS},
+cs AS (SELECT {norm('person')} AS anchor, regexp_extract(person, '^\\S+ (.*)$', 1) AS surname, false AS hint FROM lv WHERE pid IS NULL AND level <> 'weak' UNION ALL SELECT {norm('name')}, regexp_extract(name, '^\\S+ (.*)$', 1), true FROM hi),
+ca AS MATERIALIZED (SELECT anchor, min(hint) AS hint, arg_min(surname, (hint, surname)) AS surname FROM cs WHERE anchor <> '' AND anchor NOT IN (SELECT anchor FROM st WHERE status <> 'omitted') GROUP BY anchor),
+cq AS (SELECT concat('candidate::', ca.anchor) AS key, 'candidate' AS kind, ca.anchor, CAST(NULL AS VARCHAR) AS id, 1.5 * {RARE} + CASE WHEN hint THEN 2 ELSE 5 END AS priority FROM ca),
+cst AS (SELECT cq.*, CASE WHEN old IS NULL THEN 'queued' WHEN old <> '' AND coalesce(print, '') <> '' AND old <> print THEN 'reopened' ELSE 'omitted' END AS status FROM cq LEFT JOIN pr USING (anchor) LEFT JOIN md USING (key)),
+al2 AS (SELECT key, kind, anchor, id, CAST(priority AS DOUBLE) AS priority, status FROM st UNION ALL SELECT key, kind, anchor, id, CAST(priority AS DOUBLE), status FROM cst)"""
+
+
+@query("i14_frontier", f"{FRONTIER} SELECT * FROM al2 UNION ALL SELECT key, split_part(key, '::', 1), NULL, NULL, NULL, 'gone' FROM md WHERE key NOT IN (SELECT key FROM al2)")
+def i14_frontier(t):
+    """All searches and how they stand. Some were made: for one card in four, half of them with the evidence of now,
+    and for some candidates."""
+    lv = levels(t)
+    p = t["people"]
+    own = searches(p.select("id", "seq", "name", F.col("surname1").alias("surname"), "province", "birth_year", "father", "mother", (F.col("n_evidence") > 0).alias("sure")), {"EUROPE": 1, "ASIA": 2})
+    k = F.concat_ws("|", T.norm("person"), "kind", "fecha", "url")
+    prints = written(t["findings"].groupBy(T.norm("person").alias("anchor")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(k)), "::"), 256).alias("print")), "prints")
+    before = lambda same: F.when(same, F.col("print")).otherwise("before").alias("print")
+    cards = p.where("seq % 4 = 0").select("seq", T.norm("name").alias("anchor")).join(prints.hint("merge"), "anchor", "left")
+    made = cards.select(F.explode(F.array(F.concat(F.lit("person::"), "anchor"), F.concat(F.lit("parents::"), "anchor"))).alias("key"), before(F.col("seq") % 8 == 0))
+    made = made.unionByName(prints.where("length(anchor) % 3 = 0").select(F.concat(F.lit("candidate::"), "anchor").alias("key"), before(F.length("anchor") % 2 == 0)))
+    strong = lv.where("person_id IS NULL AND level <> 'weak'").select("id")
+    some = t["findings"].select("id", "person").join(strong.hint("merge"), "id").select(F.col("person").alias("name"), F.lit(False).alias("hint")).unionByName(d20(t).withColumn("hint", F.lit(True)))
+    rest = F.regexp_extract("name", r"^\S+ (.*)$", 1)
+    return frontier(own, some.select("name", rest.alias("surname"), "hint"), prints, made)
