@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.plans import exports, linking, lookups, names, registry, research, streams, summaries, tree  # noqa: F401
+from kindred.plans import exports, linking, lookups, names, objectives, registry, research, streams, summaries, tree  # noqa: F401
 
 from .harness import connect, differences
 
