@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
@@ -136,13 +136,18 @@ def compatibility(acts: DataFrame, people: DataFrame) -> DataFrame:
     return pairs.select("id", "seq", score.alias("score"), verdict.alias("verdict"))
 
 
-def pick_act(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:
-    """seq, id, points, confidence of the baptism that best fits a person: parish, municipality and second
-    surname give points, then nearness to the middle of the window, then the smallest id."""
+def fitting_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:
+    """seq, id, points, far of the baptisms that fit a person: parish, municipality and second surname give points;
+    far is the distance to the middle of the window."""
     q = people.where("birth_year IS NOT NULL").select("seq", T.given_key("given").alias("k"), T.norm("surname1").alias("s"), T.norm("surname2").alias("s2"), T.norm("place").alias("home"), (F.col("birth_year") + lo).alias("lo"), (F.col("birth_year") + hi).alias("hi"))
     a = acts.where("kind = 'bautismo'").select("id", "year", T.given_key("given").alias("k"), T.norm("surname1").alias("s"), T.norm("surname2").alias("as2"), T.norm("parish").alias("parish"), T.norm("municipality").alias("mun"))
     points = F.when((F.col("home") != "") & F.contains("parish", F.col("home")), 3).otherwise(0) + F.when(F.col("mun") == F.col("home"), 2).otherwise(0) + F.when((F.col("as2") != "") & (F.col("as2") == F.col("s2")), 2).otherwise(0)
-    scored = in_window(q, "lo", "hi", a, "year", ["k", "s"]).select("seq", "id", points.alias("points"), F.abs(F.col("year") - (F.col("lo") + F.col("hi")) / 2).alias("far"))
+    return in_window(q, "lo", "hi", a, "year", ["k", "s"]).select("seq", "id", points.alias("points"), F.abs(F.col("year") - (F.col("lo") + F.col("hi")) / 2).alias("far"))
+
+
+def pick_act(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:
+    """seq, id, points, confidence of the baptism that best fits a person: most points, then nearest, then the smallest id."""
+    scored = fitting_acts(people, acts, lo, hi)
     best = first_by(scored, ["seq"], F.desc("points"), "far", "id")
     return best.select("seq", "id", "points", F.when(F.col("points") >= 3, "high").when(F.col("points") >= 2, "mid").otherwise("low").alias("confidence"))
 
@@ -160,3 +165,10 @@ def seals(acts: DataFrame, kin: DataFrame) -> DataFrame:
     k = F.coalesce("k_s1", F.lit(0)) + F.when(F.col("s2") != "", F.coalesce("k_s2", F.lit(0))).otherwise(0)
     points = F.when(k == 2, 1.0).when(k == 1, 0.5).otherwise(0.0) + F.coalesce(F.col("year").between(span.lo, span.hi), F.lit(False)).cast("int") + F.coalesce("near", F.lit(False)).cast("int")
     return j.select("id", F.when(F.col("named"), "record").when(points >= 2, "reserved").otherwise("hint").alias("seal"))
+
+
+def other_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int, most: int = 5) -> DataFrame:
+    """seq, place (from 1), id of the next best baptisms after the one that pick_act() takes."""
+    w = Window.partitionBy("seq").orderBy(F.desc("points"), "far", "id")
+    ranked = fitting_acts(people, acts, lo, hi).withColumn("place", F.row_number().over(w) - 1)
+    return ranked.where(F.col("place").between(1, most)).select("seq", "place", "id")

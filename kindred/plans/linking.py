@@ -213,6 +213,14 @@ def f2(t):
     return E.pick_act(t["people"], t["acts"], -5, 10)
 
 
+@query("f2_alternatives", f"""
+WITH q AS (SELECT seq, {given_key('given')} AS k, {norm('surname1')} AS s, {norm('surname2')} AS s2, {norm('place')} AS place, birth_year - 5 AS lo, birth_year + 10 AS hi FROM people WHERE birth_year IS NOT NULL),
+c AS (SELECT q.seq, a.id, (CASE WHEN q.place <> '' AND contains({norm('a.parish')}, q.place) THEN 3 ELSE 0 END) + (CASE WHEN {norm('a.municipality')} = q.place THEN 2 ELSE 0 END) + (CASE WHEN a.surname2 <> '' AND {norm('a.surname2')} = q.s2 THEN 2 ELSE 0 END) AS points, abs(a.year - (lo + hi) / 2) AS far FROM q JOIN acts a ON a.kind = 'bautismo' AND {given_key('a.given')} = q.k AND {norm('a.surname1')} = q.s AND a.year BETWEEN lo AND hi)
+SELECT seq, r - 1 AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY points DESC, far, id) AS r FROM c) WHERE r BETWEEN 2 AND 6""")
+def f2_other(t):
+    return E.other_acts(t["people"], t["acts"], -5, 10)
+
+
 PARENTS = " UNION ALL ".join(f"SELECT concat(id, ':{r}') AS qid, id, '{r}' AS role, min(name) AS name, CAST(NULL AS INT) AS year FROM ({ROLE.format(role)}) WHERE len(name) >= 3 AND NOT {BAD} GROUP BY id HAVING count(DISTINCT {norm('name')}) = 1" for r, role in (("f", "padre"), ("m", "madre")))
 CONFIRMED_PARENTS = f"""pq AS MATERIALIZED ({PARENTS}), {resolved('pq', 'c')},
 pe AS (SELECT pq.id, role, p.id AS pid, {norm('p.name')} AS k, p.birth_year FROM pq JOIN cres USING (qid) JOIN people p ON p.id = person_id JOIN findings f ON f.id = pq.id WHERE p.n_evidence > 0 AND {event_class('f.kind')} IN ('birth', 'marriage')),
@@ -395,16 +403,29 @@ def i8(t):
     return t["people"].where("province = 'ASIA'").select("id", F.get(F.split("given", " "), 0).alias("given"), "surname1", (F.col("birth_year") - 20).alias("lo"), (F.col("birth_year") + 20).alias("hi"), F.col("birth_year").isNull().alias("no_year"))
 
 
-@query("i9_seals", f"""
+SEALS = f"""
 WITH kin AS (SELECT DISTINCT {norm('surname1')} AS s FROM people WHERE place = 'NATION_3'), places AS (SELECT 'nation_3' AS p), yr AS (SELECT min(birth_year) - 110 AS lo, max(birth_year) + 50 AS hi FROM people WHERE place = 'NATION_3'),
 rel AS (SELECT DISTINCT {given_key('given')} AS g, {norm('surname1')} AS s FROM people WHERE place = 'NATION_3'),
 a AS (SELECT id, {norm('surname1')} AS s1, {norm('surname2')} AS s2, year, {norm('municipality')} AS m, {given_key('father_given')} AS fg, {norm('father_surname')} AS fs FROM acts ),
-x AS (SELECT id, (CASE WHEN EXISTS (SELECT 1 FROM rel WHERE g = fg AND s = fs AND fg <> '') THEN 2 ELSE 0 END) AS named, CAST(s1 IN (SELECT s FROM kin) AS INT) + CAST(s2 <> '' AND s2 IN (SELECT s FROM kin) AS INT) AS k, coalesce(year BETWEEN lo AND hi, false) AS in_time, m IN (SELECT p FROM places) AS near FROM a, yr)
-SELECT id, CASE WHEN named > 0 THEN 'record' WHEN (CASE k WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END) + CAST(in_time AS INT) + CAST(near AS INT) >= 2 THEN 'reserved' ELSE 'hint' END AS seal FROM x""")
+x AS (SELECT id, (CASE WHEN EXISTS (SELECT 1 FROM rel WHERE g = fg AND s = fs AND fg <> '') THEN 2 ELSE 0 END) AS named, CAST(s1 IN (SELECT s FROM kin) AS INT) + CAST(s2 <> '' AND s2 IN (SELECT s FROM kin) AS INT) AS k, coalesce(year BETWEEN lo AND hi, false) AS in_time, m IN (SELECT p FROM places) AS near FROM a, yr)"""
+SEAL = "CASE WHEN named > 0 THEN 'record' WHEN (CASE k WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END) + CAST(in_time AS INT) + CAST(near AS INT) >= 2 THEN 'reserved' ELSE 'hint' END"
+
+
+@query("i9_seals", f"{SEALS} SELECT id, {SEAL} AS seal FROM x")
 def i9(t):
     return E.seals(t["acts"], t["people"].where("place = 'NATION_3'"))
 
 
+@query("e16_kin_by_seal", f"{SEALS}, z AS (SELECT id, {SEAL} AS seal FROM x) SELECT seal, kind, count(*) AS acts, count(DISTINCT concat({given_key('given')}, '|', {norm('surname1')})) AS people, min(year) AS lo, max(year) AS hi FROM z JOIN acts USING (id) WHERE NOT EXISTS (SELECT 1 FROM rel WHERE g = {given_key('given')} AND s = {norm('surname1')}) GROUP BY ALL")
+def e16_seals(t):
+    """What the acts say of people whom the family's tree does not have yet, by how sure it is."""
+    kin = t["people"].where("place = 'NATION_3'")
+    who = lambda df: df.withColumns({"g": T.given_key("given"), "s": T.norm("surname1")})
+    new = who(t["acts"].select("id", "kind", "year", "given", "surname1")).join(who(kin).select("g", "s").distinct().hint("merge"), ["g", "s"], "left_anti")
+    each = new.join(E.seals(t["acts"], kin).hint("merge"), "id").groupBy("seal", "kind", "g", "s").agg(F.count("*").alias("n"), F.min("year").alias("lo"), F.max("year").alias("hi"))
+    return each.groupBy("seal", "kind").agg(F.sum("n").alias("acts"), F.count("*").alias("people"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 @query("d26_token_documents", f"""
 WITH q AS (SELECT DISTINCT unnest({tokens('surname1')}) AS tok FROM people ), d AS (SELECT id, unnest({tokens("concat(person, ' ', place)")}) AS tok FROM findings )
 SELECT q.tok, count(DISTINCT d.id) AS n, count(DISTINCT d.id) < 400 AS widen FROM q LEFT JOIN d USING (tok) GROUP BY q.tok""")

@@ -277,6 +277,13 @@ def g7(t):
     return t["events"].where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(15)
 
 
+@query("g7_remainder", "WITH e AS (SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT least(count(*), 15) AS shown, greatest(count(*) - 15, 0) AS more, CAST(sum(n) AS BIGINT) AS attempts FROM e")
+def g7_rest(t):
+    """How many anchors the list of the newest 15 shows, how many it does not, and all attempts."""
+    e = t["events"].where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
+    return e.agg(F.least(F.count("*"), F.lit(15)).alias("shown"), F.greatest(F.count("*") - 15, F.lit(0)).alias("more"), F.sum("n").alias("attempts"))
+
+
 @query("h1_union_acts", "SELECT kind, count(*) AS n, min(id) AS lo, max(id) AS hi FROM (SELECT DISTINCT kind, id FROM (SELECT kind, id FROM acts WHERE kind <> 'defuncion' UNION ALL SELECT kind, id FROM acts WHERE kind <> 'bautismo')) GROUP BY kind")
 def h1(t):
     a = t["acts"]
