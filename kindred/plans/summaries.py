@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
-from kindred.operators.tables import running, written
+from kindred.operators.tables import running
 
 
 from .registry import event_class, norm, query, strings, tokens, year_of
