@@ -117,13 +117,24 @@ def classify(findings: DataFrame, people: DataFrame, resolved: DataFrame) -> Dat
 SALTS = 16
 
 
+PROFILE = ["ag", "a1", "a2", "year", "mun"]
+
+
+def act_profiles(acts: DataFrame) -> DataFrame:
+    """id and what compatibility() looks at: given name, surnames, year and municipality, normalised."""
+    return acts.select("id", T.norm("given").alias("ag"), T.norm("surname1").alias("a1"), T.norm("surname2").alias("a2"), "year", T.norm("municipality").alias("mun"))
+
+
 def compatibility(acts: DataFrame, people: DataFrame) -> DataFrame:
-    """id, seq, score, verdict of acts and people who share a surname (others are incompatible by rule). The
-    pairs come from a join on each surname of either side, dealt to SALTS parts; a pair that shares both is
-    kept at the first that they share, so nothing is shuffled again."""
+    """PROFILE, acts, people, seq, score, verdict: of acts and people who share a surname (others are incompatible by
+    rule), one row for each pair of distinct profiles, with how many acts and people have them and the smallest seq.
+
+    Pairs grow with the distinct profiles, not with namesakes. They come from a join on each surname of either side,
+    dealt to SALTS parts; a pair that shares both is kept at the first that they share, so nothing is shuffled again."""
     p = people.select("seq", T.norm("given").alias("pg"), T.norm("surname1").alias("p1"), T.norm("surname2").alias("p2"), "birth_year", T.norm("place").alias("home"))
-    a = acts.select("id", T.norm("given").alias("ag"), T.norm("surname1").alias("a1"), T.norm("surname2").alias("a2"), "year", T.norm("municipality").alias("mun"))
-    left = a.withColumn("s", F.explode(F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != "")))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    p = p.groupBy("pg", "p1", "p2", "birth_year", "home").agg(F.count("*").alias("people"), F.min("seq").alias("seq"))
+    a = act_profiles(acts).groupBy(*PROFILE).agg(F.count("*").alias("acts"))
+    left = a.withColumn("s", F.explode(F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != "")))).withColumn("salt", F.pmod(F.xxhash64(*PROFILE), F.lit(SALTS)))
     right = p.withColumn("s", F.explode(F.array_distinct(F.array("p1", "p2")))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     first = F.when((F.col("a1") != "") & ((F.col("a1") == F.col("p1")) | (F.col("a1") == F.col("p2"))), F.col("a1")).otherwise(F.col("a2"))
     pairs = left.join(right.hint("merge"), ["s", "salt"]).where(F.col("s") == first)
@@ -133,7 +144,7 @@ def compatibility(acts: DataFrame, people: DataFrame) -> DataFrame:
     score = F.when((F.col("ag") == F.col("pg")) & (common == 2), 2.0).when(common >= 2, 1.0).otherwise(0.5) + F.when(d <= 5, 1).otherwise(0) + F.when((F.col("home") != "") & inside, 1).otherwise(0)
     reserve = F.coalesce((d.isNull() & F.col("year").isNotNull()) | (d > 5) | (F.col("home") == "") | ~inside, F.lit(False))
     verdict = F.when(F.coalesce(d > 25, F.lit(False)), "incompatible").when((score >= 2) & reserve, "reserves").when(score >= 2, "compatible").otherwise("insufficient")
-    return pairs.select("id", "seq", score.alias("score"), verdict.alias("verdict"))
+    return pairs.select(*PROFILE, "acts", "people", "seq", score.alias("score"), verdict.alias("verdict"))
 
 
 def fitting_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:

@@ -21,7 +21,7 @@ def test_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_rows(spark, name):
-    assert not registry.QUERIES[name](spark, SF).isEmpty()
+    assert not registry.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
 
 
 def test_entry(spark):
