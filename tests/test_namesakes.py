@@ -47,3 +47,15 @@ def test_no_pairs(spark, namesakes, name):
     df.collect()
     assert 0 < most_rows(df) < N * N / 4
     assert differences(spark, connect(namesakes), name, namesakes, registry.QUERIES, registry.SQL) == ""
+
+
+@pytest.mark.parametrize("name", ["c11_c12_date_fit"])
+def test_parts(spark, namesakes, name):
+    """The rows of one name are not all one task's."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = registry.QUERIES[name](spark, namesakes).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < sum(sizes) / 2
+    assert differences(spark, connect(namesakes), name, namesakes, registry.QUERIES, registry.SQL) == ""
