@@ -147,18 +147,40 @@ def compatibility(acts: DataFrame, people: DataFrame) -> DataFrame:
     return pairs.select(*PROFILE, "acts", "people", "seq", score.alias("score"), verdict.alias("verdict"))
 
 
-def fitting_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:
-    """seq, id, points, far of the baptisms that fit a person: parish, municipality and second surname give points;
-    far is the distance to the middle of the window."""
+def fitting_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int, most: int) -> DataFrame:
+    """seq, id, points, far of the `most` baptisms that best fit a person, by most points, then nearest, then the smallest
+    id: parish, municipality and second surname give points; far is the distance to the middle of the window.
+
+    A search is made for every choice of these three, and only the first `most` acts of each are taken: an act that is
+    among the best has at most that many before it in the search for just what it shares, and none has fewer points there
+    than the search says. Searches and acts of one key and year are reduced first, so nothing grows with pairs of namesakes."""
     q = people.where("birth_year IS NOT NULL").select("seq", T.given_key("given").alias("k"), T.norm("surname1").alias("s"), T.norm("surname2").alias("s2"), T.norm("place").alias("home"), (F.col("birth_year") + lo).alias("lo"), (F.col("birth_year") + hi).alias("hi"))
-    a = acts.where("kind = 'bautismo'").select("id", "year", T.given_key("given").alias("k"), T.norm("surname1").alias("s"), T.norm("surname2").alias("as2"), T.norm("parish").alias("parish"), T.norm("municipality").alias("mun"))
-    points = F.when((F.col("home") != "") & F.contains("parish", F.col("home")), 3).otherwise(0) + F.when(F.col("mun") == F.col("home"), 2).otherwise(0) + F.when((F.col("as2") != "") & (F.col("as2") == F.col("s2")), 2).otherwise(0)
-    return in_window(q, "lo", "hi", a, "year", ["k", "s"]).select("seq", "id", points.alias("points"), F.abs(F.col("year") - (F.col("lo") + F.col("hi")) / 2).alias("far"))
+    a = acts.where("kind = 'bautismo' AND year IS NOT NULL").select("id", "year", T.given_key("given").alias("k"), T.norm("surname1").alias("s"), T.norm("surname2").alias("s2"), T.norm("parish").alias("parish"), T.norm("municipality").alias("mun"))
+    inside = written(places_met(a.select("parish"), "parish", q.select("home"), "home").where(F.contains("parish", F.col("home"))).groupBy("parish").agg(F.collect_set("home").alias("homes")), "parishes")
+    choice = lambda two, place, s2, home: F.struct(F.lit(two).alias("two"), F.lit(place).alias("place"), s2.alias("c2"), home.alias("at"))
+    none = F.lit("")
+    seconds = lambda place, home: F.array(choice(0, place, none, home), F.when(F.col("s2") != "", choice(2, place, F.col("s2"), home)))
+    # an act: of any place, of its municipality (2), of a home that its parish names (3) or both (5)
+    homes = F.coalesce("homes", F.array().cast("array<string>"))
+    both = F.when(F.array_contains(homes, F.col("mun")), F.col("mun"))
+    of_act = F.concat(seconds(0, none), seconds(2, F.col("mun")), F.flatten(F.transform(homes, lambda h: seconds(3, h))), F.when(both.isNotNull(), seconds(5, both)).otherwise(F.array().cast("array<struct<two:int,place:int,c2:string,at:string>>")))
+    key = ["k", "s", "two", "place", "c2", "at"]
+    first = lambda df, keys, *order: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= most).drop("r")
+    there = a.join(inside.hint("merge"), "parish", "left").select("id", "year", "k", "s", F.explode(F.array_compact(of_act)).alias("c")).select("id", "year", "k", "s", "c.*")
+    home = F.col("home")
+    of_person = F.concat(seconds(0, none), seconds(2, home), *[F.when(home != "", seconds(n, home)).otherwise(F.array().cast("array<struct<two:int,place:int,c2:string,at:string>>")) for n in (3, 5)])
+    profile = ["k", "s", "s2", "home", "lo", "hi"]
+    each = q.select(profile).distinct().select("*", F.explode(F.array_compact(of_person)).alias("c")).select(*profile, "c.*")
+    far = F.abs(F.col("year") - (F.col("lo") + F.col("hi")) / 2)
+    found = in_window(each.select(*key, "lo", "hi").distinct(), "lo", "hi", first(there, [*key, "year"], "id"), "year", key).withColumn("far", far)
+    found = first(found, [*key, "lo", "hi"], "far", "id").select(*key, "lo", "hi", "id", "far")
+    best = each.join(found.hint("merge"), [*key, "lo", "hi"]).groupBy(*profile, "id", "far").agg(F.max(F.col("two") + F.col("place")).alias("points"))
+    return q.join(first(best, profile, F.desc("points"), "far", "id").hint("merge"), profile).select("seq", "id", "points", "far")
 
 
 def pick_act(people: DataFrame, acts: DataFrame, lo: int, hi: int) -> DataFrame:
     """seq, id, points, confidence of the baptism that best fits a person: most points, then nearest, then the smallest id."""
-    scored = fitting_acts(people, acts, lo, hi)
+    scored = fitting_acts(people, acts, lo, hi, 1)
     best = first_by(scored, ["seq"], F.desc("points"), "far", "id")
     return best.select("seq", "id", "points", F.when(F.col("points") >= 3, "high").when(F.col("points") >= 2, "mid").otherwise("low").alias("confidence"))
 
@@ -181,5 +203,5 @@ def seals(acts: DataFrame, kin: DataFrame) -> DataFrame:
 def other_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int, most: int = 5) -> DataFrame:
     """seq, place (from 1), id of the next best baptisms after the one that pick_act() takes."""
     w = Window.partitionBy("seq").orderBy(F.desc("points"), "far", "id")
-    ranked = fitting_acts(people, acts, lo, hi).withColumn("place", F.row_number().over(w) - 1)
+    ranked = fitting_acts(people, acts, lo, hi, most + 1).withColumn("place", F.row_number().over(w) - 1)
     return ranked.where(F.col("place").between(1, most)).select("seq", "place", "id")

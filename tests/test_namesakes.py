@@ -59,3 +59,29 @@ def test_parts(spark, namesakes, name):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) < sum(sizes) / 2
     assert differences(spark, connect(namesakes), name, namesakes, registry.QUERIES, registry.SQL) == ""
+
+
+def test_best_acts(spark):
+    """The acts that pick_act() and other_acts() take, against every pair."""
+    import random
+
+    from kindred.operators.evidence import other_acts, pick_act
+
+    rnd = random.Random(7)
+    homes, seconds = ["", "Olmo", "Olmo Alto", "Haya"], ["", "Gil", "Dehesa"]
+    people = [(i, "Ana", "Redondal", rnd.choice(seconds), rnd.choice(homes), rnd.choice([1800, 1801, 1803, None])) for i in range(N)]
+    acts = [(i, rnd.choice(["bautismo"] * 9 + ["defuncion"]), rnd.choice([None, *range(1793, 1815)]), "Anna", "Redondal", rnd.choice(seconds), rnd.choice(["", "San Juan de Olmo Alto", "San Blas de Haya"]), rnd.choice(homes)) for i in range(N)]
+    want = {}
+    for seq, _, _, s2, home, born in people:
+        near = []
+        for i, kind, year, _, _, as2, parish, mun in acts:
+            if kind == "bautismo" and born and year and born - 5 <= year <= born + 10:
+                points = (3 if home and home in parish else 0) + (2 if mun == home else 0) + (2 if as2 and as2 == s2 else 0)
+                near.append((-points, abs(year - (2 * born + 5) / 2), i))
+        want[seq] = sorted(near)[:6]
+    p = spark.createDataFrame(people, "seq long, given string, surname1 string, surname2 string, place string, birth_year int")
+    a = spark.createDataFrame(acts, "id long, kind string, year int, given string, surname1 string, surname2 string, parish string, municipality string")
+    best, others = pick_act(p, a, -5, 10), other_acts(p, a, -5, 10)
+    assert {(r.seq, r.id, r.points) for r in best.collect()} == {(s, w[0][2], -w[0][0]) for s, w in want.items() if w}
+    assert {(r.seq, r.place, r.id) for r in others.collect()} == {(s, k, x[2]) for s, w in want.items() for k, x in enumerate(w) if k}
+    assert max(most_rows(best), most_rows(others)) < N * N / 8
