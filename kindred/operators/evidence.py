@@ -147,6 +147,53 @@ def compatibility(acts: DataFrame, people: DataFrame) -> DataFrame:
     return pairs.select(*PROFILE, "acts", "people", "seq", score.alias("score"), verdict.alias("verdict"))
 
 
+def counted_verdicts(acts: DataFrame, people: DataFrame) -> DataFrame:
+    """verdict, n, score (their sum) over all pairs of compatibility(), which are counted and not made.
+
+    What a pair scores depends on whether it shares both surnames, the given name, the distance in years and whether the
+    act's municipality has the person's home in it. Pairs are counted by single surnames (s), by both surnames and by
+    these with the given name, and what is counted twice is taken off; each side is summed by such a key, year and place
+    first, so rows grow with distinct years within a key. Homes are met in a step of their own."""
+    both = lambda x, y: F.array_sort(F.array_distinct(F.array(x, y)))
+    p = people.select(T.norm("given").alias("g"), both(T.norm("surname1"), T.norm("surname2")).alias("ss"), "birth_year", T.norm("place").alias("home"))
+    p = written(p.groupBy("g", "ss", "birth_year", "home").agg(F.count("*").alias("m")), "people-summed")
+    a = act_profiles(acts).select(F.col("ag").alias("g"), both("a1", "a2").alias("ss"), F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != "")).alias("own"), "year", "mun")
+    a = written(a.groupBy("g", "ss", "own", "year", "mun").agg(F.count("*").alias("n")), "acts-summed")
+    # keys: by a surname for people of two (1) and of one twice over (2), by both surnames (3); with the given name 4, 5
+    at = lambda part, ss, g: F.struct(F.lit(part).alias("part"), ss.alias("of"), g.alias("g"))
+    none, g = F.lit(""), F.col("g")
+    two = F.size("ss") == 2
+    of_act = F.concat(F.flatten(F.transform("own", lambda s: F.array(at(1, F.array(s), none), at(2, F.array(s), none), at(4, F.array(s), g)))), F.when(two, F.array(at(3, F.col("ss"), none), at(5, F.col("ss"), g))).otherwise(F.array().cast("array<struct<part:int,of:array<string>,g:string>>")))
+    of_person = F.when(two, F.array(at(1, F.array(F.get("ss", 0)), none), at(1, F.array(F.get("ss", 1)), none), at(3, F.col("ss"), none), at(5, F.col("ss"), g))).otherwise(F.array(at(2, F.col("ss"), none), at(4, F.col("ss"), g)))
+    key = ["part", "of", "g"]
+    x = a.where(F.size("own") > 0).select(F.explode(of_act).alias("c"), "year", "mun", "n", (F.col("n") * F.size("own")).alias("w")).select("c.*", "year", "mun", "n", "w")
+    y = p.select(F.explode(of_person).alias("c"), "birth_year", "home", "m").select("c.*", "birth_year", "home", "m")
+    x = written(x.groupBy(*key, "year", "mun").agg(F.sum("n").alias("n"), F.sum("w").alias("w")), "acts-keyed")
+    y = written(y.groupBy(*key, "birth_year", "home").agg(F.sum("m").alias("m")), "people-keyed")
+    met = places_met(x.select("mun"), "mun", y.select("home"), "home").where(F.contains("mun", F.col("home")))
+    d = F.abs(F.col("year") - F.col("birth_year"))
+    far = F.when(F.col("year").isNull(), "undated").when(d.isNull(), "unknown").when(d <= 5, "near").when(d <= 25, "some").otherwise("far")
+
+    def pairs(left, right, keys, where):
+        j = left.join(right.hint("merge"), keys).select("part", far.alias("far"), where.alias("where"), (F.col("n") * F.col("m")).alias("n"), (F.col("w") * F.col("m")).alias("w"))
+        return j.groupBy("part", "far", "where").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+    summed = [F.sum("n").alias("n"), F.sum("w").alias("w")]
+    homed = F.when(F.col("has_home"), "out").otherwise("none")
+    everywhere = pairs(x.groupBy(*key, "year").agg(*summed), y.groupBy(*key, "birth_year", (F.col("home") != "").alias("has_home")).agg(F.sum("m").alias("m")), key, homed)
+    inside = pairs(x.join(met.hint("merge"), "mun").groupBy(*key, "year", "home").agg(*summed), y, [*key, "home"], F.lit("in"))
+    counts = everywhere.unionByName(inside).unionByName(inside.select("part", "far", F.lit("out").alias("where"), (-F.col("n")).alias("n"), (-F.col("w")).alias("w")))
+    # what each count says of pairs that share one surname (0.5), both (1.0), both and the given name (2.0)
+    says = lambda base, n: F.struct(F.lit(base).alias("base"), n.alias("n"))
+    n, w = F.col("n"), F.col("w")
+    part = F.when(F.col("part") == 1, F.array(says(0.5, n))).when(F.col("part") == 2, F.array(says(1.0, n))).when(F.col("part") == 3, F.array(says(1.0, n), says(0.5, -w))).otherwise(F.array(says(2.0, n), says(1.0, -n)))
+    c = counts.select("far", "where", F.explode(part).alias("x")).groupBy("far", "where", "x.base").agg(F.sum("x.n").alias("n")).where("n <> 0")
+    score = F.col("base") + (F.col("far") == "near").cast("int") + (F.col("where") == "in").cast("int")
+    reserve = F.col("far").isin("unknown", "some", "far") | (F.col("where") != "in")
+    verdict = F.when(F.col("far") == "far", "incompatible").when((score >= 2) & reserve, "reserves").when(score >= 2, "compatible").otherwise("insufficient")
+    return c.groupBy(verdict.alias("verdict")).agg(F.sum("n").alias("n"), F.sum(score * F.col("n")).alias("score"))
+
+
 def fitting_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int, most: int) -> DataFrame:
     """seq, id, points, far of the `most` baptisms that best fit a person, by most points, then nearest, then the smallest
     id: parish, municipality and second surname give points; far is the distance to the middle of the window.
