@@ -194,6 +194,50 @@ def counted_verdicts(acts: DataFrame, people: DataFrame) -> DataFrame:
     return c.groupBy(verdict.alias("verdict")).agg(F.sum("n").alias("n"), F.sum(score * F.col("n")).alias("score"))
 
 
+def best_people(acts: DataFrame, people: DataFrame) -> DataFrame:
+    """id, seq, rank, score of the person whom compatibility() fits best to an act: the best verdict, then the most
+    points, then the smallest seq.
+
+    For every choice of what a pair may share (a surname; both; both and the given name; with the home or without) the
+    smallest seq within 5 years, within 25 or without a year, and of all is looked up by distinct keys. A lookup never
+    claims more than its person has, so the best claim is the right one; pairs are made only of the distinct years of a key."""
+    both = lambda x, y: F.array_sort(F.array_distinct(F.array(x, y)))
+    none, g = F.lit(""), F.col("g")
+    at = lambda base, ss, given: F.struct(F.lit(base).alias("base"), ss.alias("of"), given.alias("g"))
+    p = people.select("seq", T.norm("given").alias("g"), both(T.norm("surname1"), T.norm("surname2")).alias("ss"), "birth_year", T.norm("place").alias("home"))
+    keys = F.concat(F.transform("ss", lambda s: at(0.5, F.array(s), none)), F.array(at(1.0, F.col("ss"), none), at(2.0, F.col("ss"), g)))
+    y = written(p.select("seq", "birth_year", "home", F.explode(keys).alias("c")).groupBy("c", "birth_year", "home").agg(F.min("seq").alias("seq")), "people-keyed")
+    # both surnames: those of the act, or one of them that a person has twice over
+    a = act_profiles(acts).select("id", F.col("ag").alias("g"), both("a1", "a2").alias("ss"), F.array_distinct(F.filter(F.array("a1", "a2"), lambda x: x != "")).alias("own"), "year", "mun")
+    full = F.array_distinct(F.concat(F.array("ss"), F.transform("own", lambda s: F.array(s))))
+    wanted = F.concat(F.transform("own", lambda s: at(0.5, F.array(s), none)), F.flatten(F.transform(full, lambda ss: F.array(at(1.0, ss, none), at(2.0, ss, g)))))
+    profile = ["g", "ss", "own", "year", "mun"]
+    each = a.where(F.size("own") > 0).select(profile).distinct().withColumn("c", F.explode(wanted))
+    met = places_met(acts.select(T.norm("municipality").alias("mun")), "mun", people.select(T.norm("place").alias("home")), "home").where(F.contains("mun", F.col("home")))
+    homes = written(met, "homes")
+
+    def looked(x, y, keys, here):
+        """keys, year and m: the best (rank, less, seq) of a lookup."""
+        d = F.abs(F.col("year") - F.col("birth_year"))
+        points = F.col("c")["base"] + here
+        dated = F.when(d <= 5, F.struct(F.when(points + 1 < 2, 2).otherwise(1 - here).alias("rank"), (-points - 1).alias("less"), "seq"))
+        same = F.when(points < 2, 2).otherwise(1)
+        some = F.when(d.isNull() | (d <= 25), F.struct(F.when(F.col("year").isNull() & (points >= 2), 1 - here).otherwise(same).alias("rank"), (-points).alias("less"), "seq"))
+        rest = F.struct(F.lit(3).alias("rank"), (-points).alias("less"), F.col("seq"))
+        j = x.select(*keys, "year").distinct().join(y.hint("merge"), keys)
+        return j.groupBy(*keys, "year").agg(F.min(F.coalesce(dated, some, rest)).alias("m"))
+
+    nearby = y.join(homes.hint("merge"), "home").groupBy("c", "birth_year", "mun").agg(F.min("seq").alias("seq"))
+    found = None
+    for keys, cards, here in ((["c"], y.groupBy("c", "birth_year").agg(F.min("seq").alias("seq")), 0), (["c", "mun"], nearby, 1)):
+        m = looked(each, cards, keys, here).withColumnRenamed("year", "y")
+        on = [F.col(f"x.{k}") == F.col(f"m.{k}") for k in keys] + [F.col("x.year").eqNullSafe(F.col("m.y"))]
+        got = each.alias("x").join(m.alias("m").hint("merge"), on).select(*[f"x.{c}" for c in profile], "m.m")
+        found = got if found is None else found.unionByName(got)
+    best = found.groupBy(profile).agg(F.min("m").alias("m")).select(*[F.col(c).alias(f"b_{c}") for c in profile], "m")
+    return a.join(best.hint("merge"), [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in profile]).select("id", "m.seq", F.col("m.rank").alias("rank"), (-F.col("m.less")).alias("score"))
+
+
 def fitting_acts(people: DataFrame, acts: DataFrame, lo: int, hi: int, most: int) -> DataFrame:
     """seq, id, points, far of the `most` baptisms that best fit a person, by most points, then nearest, then the smallest
     id: parish, municipality and second surname give points; far is the distance to the middle of the window.

@@ -38,7 +38,7 @@ def most_rows(df):
     return most
 
 
-BOUNDED = ["d8_named_relative", "c10_same_person", "d9_known_person", "d10_document_people", "d16_index_search", "d1_resolve", "d7_compatibility"]
+BOUNDED = ["d8_named_relative", "c10_same_person", "d9_known_person", "d10_document_people", "d16_index_search", "d1_resolve", "d7_compatibility", "f1_best_person"]
 
 
 @pytest.mark.parametrize("name", BOUNDED)
