@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import text as T
 
 from .matching import first_by, in_window, resolve
-from .tables import written
+from .tables import side, written
 
 
 def audit_citations(quotes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -52,16 +52,31 @@ def relative_named(roles: list[str]) -> Column:
     return F.coalesce(*[F.when(told(r), r) for r in roles])
 
 
+def named_parents(findings: DataFrame) -> DataFrame:
+    """id, role (f, m), name: the one parent that each of findings(id, names, quote) names for a role, as
+    functions.text.parent_of says. What a text says is found once for each distinct text, then joined back; written."""
+    n = F.coalesce("names", F.array().cast("array<string>"))
+    texts = findings.select("id", F.size(n).alias("n"), F.posexplode(F.concat(n, F.array("quote"))).alias("pos", "x"))
+    texts = written(texts.where(F.contains("x", F.lit("(")) | F.col("x").rlike("(?i)hij")).select("id", (F.col("pos") == F.col("n")).alias("quoted"), "pos", "x"), "parent-texts")
+    distinct = written(texts.select("x").distinct(), "parent-texts-distinct")
+    told = side(distinct.select("x", F.explode(T.parents_told("x")).alias("c")).select("x", "c.*", T.norm("c.name").alias("k")), "parents-told")
+    each = texts.join(told, "x").where("NOT quoted OR phrase = 1")
+    at = F.struct("phrase", "pos", "at", "name")
+    own, quoted = ~F.col("quoted"), F.col("quoted")
+    g = each.groupBy("id", "role").agg(*[f(F.when(w, c)).alias(f"{p}_{to}") for p, w in (("n", own), ("q", quoted)) for f, c, to in ((F.min, F.col("k"), "lo"), (F.max, F.col("k"), "hi"), (F.min, at, "first"))])
+    name = F.when(F.col("n_lo").isNull(), F.when(F.col("q_lo") == F.col("q_hi"), F.col("q_first.name"))).when(F.col("n_lo") == F.col("n_hi"), F.col("n_first.name"))
+    return written(g.select("id", F.when(F.col("role") == "padre", "f").otherwise("m").alias("role"), name.alias("name")).where("name IS NOT NULL"), "named-parents")
+
+
 def confirmed_parents(findings: DataFrame, people: DataFrame) -> DataFrame:
     """id, father, mother, father_year, mother_year of birth and marriage findings that name one father and one
-    mother, both known for sure, with evidence and of different names. Both roles are resolved at once."""
-    side = lambda r, role: F.struct(F.lit(r).alias("role"), T.parent_of("names", "quote", role).alias("name"))
-    asked = findings.where(T.event_class("kind").isin("birth", "marriage")).select("id", F.explode(F.array(side("f", "padre"), side("m", "madre"))).alias("x")).select("id", "x.*").where("name IS NOT NULL")
-    # written, as the names are long to find and used several times
-    asked = written(asked.withColumn("qid", F.concat_ws(":", "id", "role")), "asked")
-    who = resolve(asked.select("qid", "name", F.lit(None).cast("int").alias("year")), people).where("person_id IS NOT NULL").select("qid", "person_id")
+    mother, both known for sure, with evidence and of different names. Both roles are resolved at once, each distinct
+    name once."""
+    asked = named_parents(findings.where(T.event_class("kind").isin("birth", "marriage")))
+    names = written(asked.select("name").distinct(), "parent-names")
+    who = resolve(names.select(F.col("name").alias("qid"), "name", F.lit(None).cast("int").alias("year")), people).where("person_id IS NOT NULL").select(F.col("qid").alias("name"), "person_id")
     cards = people.where("n_evidence > 0").select(F.col("id").alias("person_id"), T.norm("name").alias("k"), "birth_year")
-    each = asked.select("qid", "id", "role").join(who.hint("merge"), "qid").join(cards.hint("merge"), "person_id")
+    each = asked.join(side(who.join(cards.hint("merge"), "person_id"), "known-parents"), "name")
     of = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c)))
     both = each.groupBy("id").agg(of("f", "person_id").alias("father"), of("m", "person_id").alias("mother"), of("f", "birth_year").alias("father_year"), of("m", "birth_year").alias("mother_year"), of("f", "k").alias("fk"), of("m", "k").alias("mk"))
     return both.where("father IS NOT NULL AND mother IS NOT NULL AND fk <> mk").select("id", "father", "mother", "father_year", "mother_year")
@@ -70,8 +85,9 @@ def confirmed_parents(findings: DataFrame, people: DataFrame) -> DataFrame:
 def places_met(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """(a, b): the distinct places of either side of which one contains the other, normalised. The shorter one's
     first four characters are a piece of the longer one, so the join is on equality."""
-    x = left.select(a, T.norm(a).alias("x")).distinct().where("x <> ''")
-    y = right.select(b, T.norm(b).alias("y")).distinct().where("y <> ''")
+    # written, so that only distinct places are normalised
+    x = written(left.select(a).distinct(), "places").select(a, T.norm(a).alias("x")).where("x <> ''")
+    y = written(right.select(b).distinct(), "homes").select(b, T.norm(b).alias("y")).where("y <> ''")
     pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(c) - i + 1)), lambda n: F.substring(c, i, n)))))).alias("g")
     one = lambda p, c, q, d: p.select("*", F.substring(c, 1, 4).alias("g")).join(q.select("*", pieces(d)).hint("merge"), "g").where(F.contains(d, F.col(c))).select(a, b)
     return one(x, "x", y, "y").union(one(y, "y", x, "x")).distinct()
@@ -91,19 +107,23 @@ def classify(findings: DataFrame, people: DataFrame, resolved: DataFrame) -> Dat
     card = {"father": "p_father", "mother": "p_mother", "spouse": "p_spouse"}
     p = people.select(F.col("id").alias("person_id"), "birth_year", F.col("place").alias("home"), *[F.col(r).alias(c) for r, c in card.items()])
     f = findings.select("id", "person", "names", "kind", "place", "homonym", T.year_of("fecha").alias("y"))
-    j = f.join(resolved.select(F.col("qid").alias("id"), "person_id").hint("merge"), "id", "left").join(p.hint("merge"), "person_id", "left")
-    j = with_tokens(j, card).select("id", "person_id", "place", "y", "homonym", T.date_fit("y", "birth_year", "kind").alias("fit"), F.coalesce(T.same_place("place", "home"), F.lit(False)).alias("near"), relative_named([*card]).alias("relative"))
+    # known people: joined by themselves, so that findings of nobody do not meet in one task
+    who = resolved.where("person_id IS NOT NULL").select(F.col("qid").alias("id"), "person_id")
+    j = f.join(who.hint("merge"), "id").join(p.hint("merge"), "person_id")
+    j = with_tokens(j, card).select("id", "person_id", "homonym", T.date_fit("y", "birth_year", "kind").alias("fit"), F.coalesce(T.same_place("place", "home"), F.lit(False)).alias("near"), relative_named([*card]).alias("relative"))
     j = j.withColumn("facts", F.array_compact(F.array(F.lit("name"), F.when(F.col("fit") == 1, "date"), F.when(F.col("near"), "place"), F.col("relative"))))
-    known = F.when(F.col("homonym") | F.coalesce(F.col("fit") == -1, F.lit(False)), "weak").when(F.size("facts") >= 2, "confirmed").otherwise("strong")
-    j = j.withColumn("known", known)
-    # unknown people: what their surname words, place and year say
-    parents = written(confirmed_parents(findings, people), "parents")
+    weak = F.col("homonym") | F.coalesce(F.col("fit") == -1, F.lit(False))
+    known = j.select("id", "person_id", "facts", F.when(weak, "weak").when(F.size("facts") >= 2, "confirmed").otherwise("strong").alias("known"))
+    # unknown people: what their surname words, place and year say, each distinct name and place once
+    parents = confirmed_parents(findings, people)
     surnames = people.select(F.explode(F.flatten(F.array(T.name_tokens("surname1"), T.name_tokens("surname2"), *[T.name_tokens(T.surname_of(r)) for r in card]))).alias("tok")).distinct()
-    words = findings.select("id", F.explode(T.name_tokens("person")).alias("tok")).join(surnames.hint("merge"), "tok").groupBy("id").agg(F.count("*").alias("words"))
-    places = places_met(findings.select("place"), "place", people.select(F.col("place").alias("home")), "home").select("place").distinct().withColumn("of_family", F.lit(True))
+    names = written(findings.select("person").distinct(), "person-names")
+    words = side(names.select("person", F.explode(T.name_tokens("person")).alias("tok")).join(surnames.hint("merge"), "tok").groupBy("person").agg(F.count("*").alias("words")), "words")
+    places = side(places_met(findings.select("place"), "place", people.select(F.col("place").alias("home")), "home").select("place").distinct().withColumn("of_family", F.lit(True)), "places")
     span = people.agg(F.min("birth_year").alias("lo"), F.max("birth_year").alias("hi")).first()  # two numbers
     lo, hi = ANY_YEAR if span.lo is None else (span.lo - GENERATION_WINDOW, span.hi + GENERATION_WINDOW)
-    j = j.join(parents.hint("merge"), "id", "left").join(words.hint("merge"), "id", "left").join(places.hint("merge"), "place", "left")
+    j = f.select("id", "person", "place", "y").join(words, "person", "left").join(places, "place", "left").drop("person", "place")
+    j = j.join(known.hint("merge"), "id", "left").join(parents.hint("merge"), "id", "left")
     n = F.coalesce("words", F.lit(0))
     coherent = F.coalesce(F.when(n > 0, F.col("y").between(lo, hi)).otherwise(F.col("y").between(*ANY_YEAR)), F.lit(False))
     sure = F.col("father").isNotNull() & (T.parent_clash("y", "father_year", "mother_year") == "")

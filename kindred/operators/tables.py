@@ -31,6 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast once they have been counted.
+SIDE_ROWS = 200_000
+
+
+def side(df: DataFrame, name: str) -> DataFrame:
+    """df written and, if its rows are few, to be broadcast: joins to it need not shuffle the other side."""
+    out = written(df, name)
+    return out.hint("broadcast" if out.count() <= SIDE_ROWS else "merge")
+
+
 def running(df, key, order, value, name):
     """df with the running sum `name` of value by key: ranges of the order are summed apart and then shifted by the
     sums of the ranges before, so that no task gets all rows of a key. Written, as ranges are drawn by sampling."""
