@@ -95,3 +95,11 @@ def test_pairs_not_shuffled(spark, namesakes, name):
     rows = len(df.collect())
     assert most_rows(df, "shuffleRecordsWritten") < rows / 2
     assert differences(spark, connect(namesakes), name, namesakes, registry.QUERIES, registry.SQL) == ""
+
+
+def test_name_pairs_not_shuffled(spark, namesakes):
+    """c8: all pairs of rows, made in the last join; names alone are compared and made distinct."""
+    df = registry.QUERIES["c8_names_match"](spark, namesakes)
+    assert len(df.collect()) > N
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert differences(spark, connect(namesakes), "c8_names_match", namesakes, registry.QUERIES, registry.SQL) == ""
