@@ -1,5 +1,7 @@
 """The commit against plain loops, versions on disk, and edge rows."""
 
+from pyspark.sql import functions as F
+
 from kindred.operators import commit as C
 from kindred.sources.files import current_version, read_version
 
@@ -95,3 +97,18 @@ def test_edge_rows(spark):
     after, counts = C.commit(none, events, who, findings)
     assert set(counts.first().asDict().values()) == {0} and all(df.count() == 0 for df in after.values())
     assert C.verifying(spark.createDataFrame([], "event long, person_id string, name string, kind string"), findings.where("false")).count() == 0
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """The parents that a text names are found once, however many findings say it."""
+    from kindred.operators import evidence as E
+
+    read, side = [], E.side
+    monkeypatch.setattr(E, "side", lambda df, name: read.append((name, df.count())) or side(df, name))
+    events, findings = frames(spark)
+    tree = cards(spark, CARDS)
+    findings = findings.withColumn("names", F.array(F.lit("Tomás Gil Ruiz (padre)"), F.lit("Petra Mora (madre)")))
+    after, _ = C.commit(tree, events, vouched(spark, tree, events, findings), findings)
+    got = {r.id: (r.father, r.mother) for r in after["cards"].collect()}
+    assert got["P1"] == ("Tomás Gil Ruiz", "Petra Mora") and got["P2"] == ("Juan Gil", "Petra Mora")
+    assert read == [("parents-told", 2)]
