@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text as T
 
-from .matching import first_by, in_window, resolve
+from .matching import decided, first_by, in_window, resolve
 from .tables import side, written
 
 
@@ -97,40 +97,48 @@ def places_met(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
 GENERATION_WINDOW, ANY_YEAR = 90, (1700, 2100)
 
 
-def classify(findings: DataFrame, people: DataFrame, resolved: DataFrame) -> DataFrame:
-    """id, person_id, level, facts, father, mother (the two confirmed parents, if any) of every finding.
+def classify(findings: DataFrame, people: DataFrame) -> DataFrame:
+    """id, person, person_id, level, facts, father, mother (the two confirmed parents, if any) of every finding.
 
     A known person gives the fact `name`; a coherent date, a shared place and a named relative are further
     facts. A contradiction or a namesake is weak, two facts confirm, one is strong. An unknown person is
     confirmed by two confirmed parents whose years allow the event; else two surname words of the family,
-    a place of it and a coherent year make it strong, and the rest is weak."""
+    a place of it and a coherent year make it strong, and the rest is weak. What depends on a name and year or on a place
+    alone is found once for each and joined to the findings by it."""
     card = {"father": "p_father", "mother": "p_mother", "spouse": "p_spouse"}
-    p = people.select(F.col("id").alias("person_id"), "birth_year", F.col("place").alias("home"), *[F.col(r).alias(c) for r, c in card.items()])
-    f = findings.select("id", "person", "names", "kind", "place", "homonym", T.year_of("fecha").alias("y"))
-    # known people: joined by themselves, so that findings of nobody do not meet in one task
-    who = resolved.where("person_id IS NOT NULL").select(F.col("qid").alias("id"), "person_id")
-    j = f.join(who.hint("merge"), "id").join(p.hint("merge"), "person_id")
-    j = with_tokens(j, card).select("id", "person_id", "homonym", T.date_fit("y", "birth_year", "kind").alias("fit"), F.coalesce(T.same_place("place", "home"), F.lit(False)).alias("near"), relative_named([*card]).alias("relative"))
-    j = j.withColumn("facts", F.array_compact(F.array(F.lit("name"), F.when(F.col("fit") == 1, "date"), F.when(F.col("near"), "place"), F.col("relative"))))
-    weak = F.col("homonym") | F.coalesce(F.col("fit") == -1, F.lit(False))
-    known = j.select("id", "person_id", "facts", F.when(weak, "weak").when(F.size("facts") >= 2, "confirmed").otherwise("strong").alias("known"))
-    # unknown people: what their surname words, place and year say, each distinct name and place once
-    parents = confirmed_parents(findings, people)
+    y = T.year_of("fecha")
+    f = findings.select("id", "person", "names", "kind", "place", "homonym", y.alias("y"), F.when(T.event_class("kind") == "birth", y).alias("born"))
+    asked = written(f.select(F.col("person").alias("name"), F.col("born").alias("year")).distinct(), "asked")
+    who = decided(asked, people).where("person_id IS NOT NULL").select("name", "year", "person_id")
+    p = people.select(F.col("id").alias("person_id"), "birth_year", T.norm("place").alias("home"), *[T.name_tokens(r).alias(f"{r}_t") for r in card])
+    known = side(who.join(p.hint("merge"), "person_id").withColumn("own_t", T.name_tokens("name")), "known-people")
+    # what surname words and places say
     surnames = people.select(F.explode(F.flatten(F.array(T.name_tokens("surname1"), T.name_tokens("surname2"), *[T.name_tokens(T.surname_of(r)) for r in card]))).alias("tok")).distinct()
-    names = written(findings.select("person").distinct(), "person-names")
+    names = written(asked.select(F.col("name").alias("person")).distinct(), "person-names")
     words = side(names.select("person", F.explode(T.name_tokens("person")).alias("tok")).join(surnames.hint("merge"), "tok").groupBy("person").agg(F.count("*").alias("words")), "words")
-    places = side(places_met(findings.select("place"), "place", people.select(F.col("place").alias("home")), "home").select("place").distinct().withColumn("of_family", F.lit(True)), "places")
+    places = written(findings.select("place").distinct(), "places")
+    met = places_met(places, "place", people.select(F.col("place").alias("home")), "home").select("place").distinct().withColumn("of_family", F.lit(True))
+    places = side(places.join(met.hint("merge"), "place", "left").withColumn("there", T.norm("place")), "places-met")
+    parents = confirmed_parents(findings, people)
     span = people.agg(F.min("birth_year").alias("lo"), F.max("birth_year").alias("hi")).first()  # two numbers
     lo, hi = ANY_YEAR if span.lo is None else (span.lo - GENERATION_WINDOW, span.hi + GENERATION_WINDOW)
-    j = f.select("id", "person", "place", "y").join(words, "person", "left").join(places, "place", "left").drop("person", "place")
-    j = j.join(known.hint("merge"), "id", "left").join(parents.hint("merge"), "id", "left")
+    # known people by themselves: they are few, and most findings need no tokens
+    j = f.join(known, (F.col("person") == F.col("name")) & F.col("born").eqNullSafe(F.col("year"))).join(places, "place", "left")
+    others = F.array_join(F.coalesce("names", F.array().cast("array<string>")), " ")
+    near = F.coalesce((F.col("there") != "") & (F.col("home") != "") & (F.contains("there", F.col("home")) | F.contains("home", F.col("there"))), F.lit(False))
+    j = j.withColumn("others_t", T.name_tokens(others)).select("id", "person_id", "homonym", T.date_fit("y", "birth_year", "kind").alias("fit"), near.alias("near"), relative_named([*card]).alias("relative"))
+    j = j.withColumn("facts", F.array_compact(F.array(F.lit("name"), F.when(F.col("fit") == 1, "date"), F.when(F.col("near"), "place"), F.col("relative"))))
+    weak = F.col("homonym") | F.coalesce(F.col("fit") == -1, F.lit(False))
+    known = side(j.select("id", "person_id", "facts", F.when(weak, "weak").when(F.size("facts") >= 2, "confirmed").otherwise("strong").alias("known")), "known-findings")
+    j = f.select("id", "person", "place", "y").join(words, "person", "left").join(places, "place", "left").select("id", "person", "y", "words", "of_family")
+    j = j.join(known, "id", "left").join(parents.hint("merge"), "id", "left")
     n = F.coalesce("words", F.lit(0))
     coherent = F.coalesce(F.when(n > 0, F.col("y").between(lo, hi)).otherwise(F.col("y").between(*ANY_YEAR)), F.lit(False))
     sure = F.col("father").isNotNull() & (T.parent_clash("y", "father_year", "mother_year") == "")
     new = F.when(sure, "confirmed").when((n >= 2) & F.col("of_family").isNotNull() & coherent, "strong").otherwise("weak")
     level = F.when(F.col("person_id").isNull(), new).otherwise(F.col("known"))
     told = F.when(level != "confirmed", F.array().cast("array<string>")).when(F.col("person_id").isNull(), F.array(F.lit("father"), F.lit("mother"))).otherwise(F.col("facts"))
-    return j.select("id", "person_id", level.alias("level"), told.alias("facts"), "father", "mother")
+    return j.select("id", "person", "person_id", level.alias("level"), told.alias("facts"), "father", "mother")
 
 
 #: Parts that a surname's acts are dealt to, so that a common surname is not one task.

@@ -170,7 +170,6 @@ def i14_frontier(t):
     cards = p.where("seq % 4 = 0").select("seq", T.norm("name").alias("anchor")).join(prints.hint("merge"), "anchor", "left")
     made = cards.select(F.explode(F.array(F.concat(F.lit("person::"), "anchor"), F.concat(F.lit("parents::"), "anchor"))).alias("key"), before(F.col("seq") % 8 == 0))
     made = made.unionByName(prints.where("length(anchor) % 3 = 0").select(F.concat(F.lit("candidate::"), "anchor").alias("key"), before(F.length("anchor") % 2 == 0)))
-    strong = lv.where("person_id IS NULL AND level <> 'weak'").select("id")
-    some = t["findings"].select("id", "person").join(strong.hint("merge"), "id").select(F.col("person").alias("name"), F.lit(False).alias("hint")).unionByName(d20(t).withColumn("hint", F.lit(True)))
+    some = lv.where("person_id IS NULL AND level <> 'weak'").select(F.col("person").alias("name"), F.lit(False).alias("hint")).distinct().unionByName(d20(t).withColumn("hint", F.lit(True)))
     rest = F.regexp_extract("name", r"^\S+ (.*)$", 1)
     return frontier(own, some.select("name", rest.alias("surname"), "hint"), prints, made)
