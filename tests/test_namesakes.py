@@ -125,3 +125,23 @@ def test_arrays_of_acts_meet(spark, namesakes, name):
     rows = len(df.collect())
     assert 0 < joined_rows(df) < rows / 20
     assert differences(spark, connect(namesakes), name, namesakes, registry.QUERIES, registry.SQL) == ""
+
+
+def test_arrays_of_names_meet(spark, namesakes):
+    """c8: arrays meet, the cards of a name are repeated only for names with much of the work, which several tasks then share."""
+    from kindred.operators import matching
+
+    df = registry.QUERIES["c8_names_match"](spark, namesakes)
+    rows = len(df.collect())
+    assert 0 < joined_rows(df) < rows / 4
+    a = spark.createDataFrame([(i if i else None, "Ana Gil") for i in range(400)] + [(i, f"Petra {chr(97 + i % 26) * 5}") for i in range(400, 500)], "id long, person string")
+    b = spark.createDataFrame([(f"P{i}", "Ana Gil Olmo") for i in range(300)] + [(f"P{i}", f"Petra {chr(97 + i % 26) * 5} Olmo") for i in range(300, 400)], "pid string, name string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = matching.matching_rows(a, "id", "person", b, "pid", "name", 16)
+        sizes = pairs.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((r.id or 0, r.pid) for r in pairs.collect())
+    assert got == sorted([(i, f"P{j}") for i in range(400) for j in range(300)] + [(i, f"P{j}") for i in range(400, 500) for j in range(300, 400) if i % 26 == j % 26])
+    assert max(sizes) < sum(sizes) / 2
